@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftbase.llm.bpe import encode_corpus
 from siftbase.llm.quantiles import above_median, multi_select, summarise
 from siftbase.llm.runs import collapse_runs
 from siftbase.session import distinct_rows, table
@@ -109,3 +110,19 @@ def p4_day_summaries(spark, sf):
         F.min(F.element_at("values", 1)).alias("lowest"),
         F.max(F.element_at("values", -1)).alias("highest"),
     )
+
+
+def _ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query()
+def p6_ids(spark, sf):
+    """The ids of every document's text."""
+    return _ids(spark, sf)
+
+
+@query()
+def p6_found(spark, sf):
+    """Documents without ids."""
+    return _ids(spark, sf).where(F.size("ids") == 0).select("doc_id")
