@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftbase.llm.bpe import encode_corpus
+from siftbase.llm.mixture import Mixture, mix_sources
 from siftbase.llm.quantiles import above_median, multi_select, summarise
 from siftbase.llm.runs import collapse_runs
 from siftbase.session import distinct_rows, table
@@ -126,3 +127,25 @@ def p6_ids(spark, sf):
 def p6_found(spark, sf):
     """Documents without ids."""
     return _ids(spark, sf).where(F.size("ids") == 0).select("doc_id")
+
+
+def _mixture(spark: SparkSession, sf: str) -> Mixture:
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_plan"))
+
+
+@query()
+def p7_found(spark, sf):
+    """Sources that can't reach their share within their permitted repeats."""
+    return _mixture(spark, sf).shares.where("short").select("source")
+
+
+@query()
+def p7_mix(spark, sf):
+    """The mixture itself: which document goes where, and for the how-manieth time."""
+    return _mixture(spark, sf).rows
+
+
+@query()
+def p7_shares(spark, sf):
+    """Target and reached shares of every source of the plan."""
+    return _mixture(spark, sf).shares
