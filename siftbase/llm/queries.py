@@ -11,6 +11,7 @@ from siftbase.llm.bpe import encode_corpus
 from siftbase.llm.mixture import Mixture, mix_sources
 from siftbase.llm.quantiles import above_median, multi_select, summarise
 from siftbase.llm.runs import collapse_runs
+from siftbase.llm.split import letter_stretches, split_items
 from siftbase.session import distinct_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,33 @@ def p7_mix(spark, sf):
 def p7_shares(spark, sf):
     """Target and reached shares of every source of the plan."""
     return _mixture(spark, sf).shares
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "targets").where("contig is not null and coord_first <= coord_second")
+    targets = distinct_rows(rows, "target_id", "panel_id", "contig", "coord_first", "coord_second")
+    limits = table(spark, sf, "panels").select("panel_id", "max_len", "overlap_len")
+    return split_items(targets.join(limits, "panel_id"), letter_stretches(table(spark, sf, "refseq")), "target_id", "contig", "coord_first", "coord_second", "max_len", "overlap_len")
+
+
+@query("""
+with t as (select distinct target_id, contig, coord_first as a, coord_second as z from targets join panels using (panel_id)
+  where contig is not null and coord_first <= coord_second and coord_second - coord_first + 1 > max_len),
+b as (select contig, tile_start + unnest(range(length(seq))) as pos, unnest(string_split(upper(seq), '')) as base from (select distinct * from refseq)),
+n as (select contig, pos, pos - row_number() over (partition by contig order by pos) as isl from b where base = 'N'),
+s as (select contig, min(pos) as f, max(pos) as l from n group by contig, isl having count(*) >= 10)
+select target_id, cast(coalesce(f, -1) as int) as cut_first from t left join s on s.contig = t.contig and f >= a and l <= z""")
+def p3_found(spark, sf):
+    """The stretches of N inside each target that is too long, -1 where there is none."""
+    cut = F.explode(F.when(F.size("boundaries") > 0, F.col("boundaries.first")).otherwise(F.array(F.lit(-1).cast("long"))))
+    return _split(spark, sf).select("target_id", cut.alias("cut_first")).select("target_id", F.col("cut_first").cast("int").alias("cut_first"))
+
+
+@query()
+def p3_pieces(spark, sf):
+    """The pieces of each target that is too long, and the stretch of N at which each begins."""
+    rows = _split(spark, sf).select("target_id", "contig", F.posexplode("pieces").alias("piece_no", "_p"))
+    return rows.select(
+        "target_id", "contig", "piece_no",
+        F.col("_p.first").cast("int").alias("piece_first"), F.col("_p.second").cast("int").alias("piece_second"), F.col("_p.cut_first").cast("int").alias("cut_first"),
+    )
