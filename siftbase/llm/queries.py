@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftbase.llm.bpe import encode_corpus
 from siftbase.llm.mixture import Mixture, mix_sources
+from siftbase.llm.mojibake import find_garbled, restore_garbled
 from siftbase.llm.quantiles import above_median, multi_select, summarise
 from siftbase.llm.runs import collapse_runs
 from siftbase.llm.split import letter_stretches, split_items
@@ -180,3 +181,15 @@ def p3_pieces(spark, sf):
         "target_id", "contig", "piece_no",
         F.col("_p.first").cast("int").alias("piece_first"), F.col("_p.second").cast("int").alias("piece_second"), F.col("_p.cut_first").cast("int").alias("cut_first"),
     )
+
+
+@query()
+def p8_found(spark, sf):
+    """Documents with at least one stretch that was decoded with a wrong encoding."""
+    return find_garbled(table(spark, sf, "documents")).select("doc_id")
+
+
+@query()
+def p8_restored(spark, sf):
+    """Their texts with the originals put back where these can be regained."""
+    return restore_garbled(table(spark, sf, "documents"))
