@@ -63,4 +63,27 @@ def running(
     return joined.withColumn(out, total).drop("_value", "_carry")
 
 
-__all__ = ["running", "same", "with_bin"]
+def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], width: int) -> DataFrame:
+    """Add ``_prev`` and ``_next``, the rows before and after (as structs of ``order`` and ``columns``) along the whole key.
+
+    Windows cover (key, bin); the rows beyond a bin's ends come from one summary
+    row per bin. ``order`` is unique in a key.
+    """
+    rows = with_bin(df, order, width).withColumn("_row", F.struct(order, *[c for c in columns if c != order]))
+    per_bin = rows.groupBy(*keys, "_bin").agg(F.min("_row").alias("_head"), F.max("_row").alias("_tail"))
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    ends = per_bin.select(
+        *[F.col(k).alias(f"_e_{i}") for i, k in enumerate([*keys, "_bin"])],
+        F.lag("_tail").over(along).alias("_before"), F.lead("_head").over(along).alias("_after"),
+    )
+    cond = F.lit(True)
+    for i, k in enumerate([*keys, "_bin"]):
+        one = rows[k].eqNullSafe(ends[f"_e_{i}"])
+        cond = one if i == 0 else cond & one
+    here = Window.partitionBy(*keys, "_bin").orderBy(order)
+    out = rows.join(ends, cond, "left")
+    out = out.withColumn("_prev", F.coalesce(F.lag("_row").over(here), "_before")).withColumn("_next", F.coalesce(F.lead("_row").over(here), "_after"))
+    return out.drop("_row", "_before", "_after", *[f"_e_{i}" for i in range(len(keys) + 1)])
+
+
+__all__ = ["neighbours", "running", "same", "with_bin"]
