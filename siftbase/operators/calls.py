@@ -9,6 +9,7 @@ from siftbase.config import CallerOptions
 from siftbase.functions import scalars as S
 from siftbase.operators.coverage import coverage_at
 from siftbase.operators.reads import KEYS, indel_walk, reference_windows, snp_walk, tiles
+from siftbase.session import cut
 
 
 def allele_counts(events: DataFrame, site: list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def majority(alleles: DataFrame, site: list[str], by: str = "posterior") -> Data
     return sites.select(*site, pick.alias("_p"), ties.alias("ties"), "all_reads").select(*site, "_p.allele", "_p.n", "_p.qsum", "_p.fwd", "_p.p_any", "_p.p", "ties", "all_reads")
 
 
-def snp_rows(sites: DataFrame, o: CallerOptions) -> DataFrame:
+def snp_rows(sites: DataFrame, o: CallerOptions, keep: tuple[str, ...] = (*KEYS, "pos", "ref")) -> DataFrame:
     """Called rows from majorities joined with ``cov_rr`` and ``cov_dp``."""
     dp = F.col("n") + F.col("cov_rr")
     called = F.col("p") >= o.snp_min_p
@@ -60,7 +61,7 @@ def snp_rows(sites: DataFrame, o: CallerOptions) -> DataFrame:
         called = F.lit(True)
     kept = sites.where((F.col("cov_dp") + F.col("all_reads") <= o.max_coverage) & called)
     return kept.select(
-        *[c for c in sites.columns if c in (*KEYS, "pos", "ref")],
+        *keep,
         F.col("allele").alias("alt"),
         S.snp_qual(F.col("p")).alias("qual"),
         S.snp_filters(F.col("p"), F.col("n"), dp, F.col("fwd"), o).alias("filters"),
@@ -78,8 +79,8 @@ def call_snps(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = Non
     o = o or CallerOptions()
     events, intervals = snp_walk(reads, refseq, o)
     site = [*KEYS, "pos", "ref"]
-    best = majority(allele_counts(events, site), site, "posterior" if o.scavenge else "quality")
-    cover = coverage_at(intervals, events, KEYS, ["rr", "dp"], cap=o.coverage_cap).withColumnsRenamed({"rr": "cov_rr", "dp": "cov_dp"})
+    best = cut(majority(allele_counts(events, site), site, "posterior" if o.scavenge else "quality"))  # sites are few beside reads
+    cover = coverage_at(intervals, best, KEYS, ["rr", "dp"], cap=o.coverage_cap).withColumnsRenamed({"rr": "cov_rr", "dp": "cov_dp"})
     calls = snp_rows(best.join(cover, [*KEYS, "pos"]), o)
     return calls.withColumn("pos", F.col("pos") + 1)
 
@@ -123,10 +124,10 @@ def call_indels(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = N
     """
     o = o or CallerOptions()
     events, intervals = indel_walk(reads, refseq, o)
-    alleles = merge_indels(events)
+    alleles = cut(merge_indels(events))  # sites are few beside reads, and are needed five times
     w = Window.partitionBy(*KEYS, "var_start")
     sites = alleles.withColumn("all_reads", F.sum("n").over(w).cast("int")) if all_indels else top_indels(alleles)
-    sites = with_entropy(sites, refseq).withColumn("cov_pos", F.when(F.col("del"), F.col("var_start")).otherwise(F.col("var_start") - 1))
+    sites = cut(with_entropy(sites, refseq)).withColumn("cov_pos", F.when(F.col("del"), F.col("var_start")).otherwise(F.col("var_start") - 1))
     cover = coverage_at(intervals, sites.select(*KEYS, "cov_pos"), KEYS, ["rr", "rr_ins", "dp"], "cov_pos", o.coverage_cap)
     rows = sites.join(cover, [*KEYS, "cov_pos"])
     ref_reads = F.when(F.col("del"), F.col("rr")).otherwise(F.greatest(F.lit(0), F.col("rr_ins") - F.col("all_reads")))
