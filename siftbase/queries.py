@@ -14,12 +14,14 @@ from siftbase.operators.calls import allele_counts, call_indels, call_snps, majo
 from siftbase.operators.coverage import coverage_at, coverage_runs
 from siftbase.operators.intervals import merge_intervals, previous_gap
 from siftbase.operators.joins import overlap_join, point_in_interval, with_known, with_targets
-from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, snp_walk, usable
+from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, reference_pieces, snp_walk, tiles, usable
 from siftbase.operators.skew import heavy_keys, skew_join
 from siftbase.plans import sql as Q
 from siftbase.plans.evidence import evidence, read_spans
-from siftbase.session import distinct_rows, table
+from siftbase.session import distinct_rows, scratch, table
+from siftbase.sinks.vcf import block_record, indel_record, snp_record, vcf_lines
 from siftbase.sources.text import known_indels, parse_bed
+from siftbase.streaming.caller import stream_alleles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -374,14 +376,6 @@ def bed_parse(spark, sf):
     return parse_bed(table(spark, sf, "targets").select("target_id", "bed_line"), "bed_line").select("target_id", "contig", "seg_first", "seg_second").distinct()
 
 
-@query(r"""select contig, pos, case when length(ref_allele) > length(alt_allele) then concat(pos, 'D', length(ref_allele) - length(alt_allele)) else concat(pos, 'I', substr(alt_allele, length(ref_allele) + 1)) end as key,
-  max(coalesce(try_cast(nullif(regexp_extract(coalesce(info, ''), '(?:^|;)GMAF=([0-9.eE+-]+)', 1), '') as double), 0.0001)) as af
-from known_indels where contig is not null and pos is not null and alt_allele not like '%,%' and length(ref_allele) <> length(alt_allele) group by 1, 2, 3""")
-def known_indel_keys(spark, sf):
-    """SRC9, D16: known indels by key with their frequency."""
-    return known_indels(table(spark, sf, "known_indels")).groupBy("contig", "pos", "key").agg(F.max("af").alias("af"))
-
-
 @query(f"""with x as ({Q.indel_calls(Q.P_INDEL)}), k as (select contig, case when length(ref_allele) > length(alt_allele) then concat(pos, 'D', length(ref_allele) - length(alt_allele)) else concat(pos, 'I', substr(alt_allele, length(ref_allele) + 1)) end as key,
   max(coalesce(try_cast(nullif(regexp_extract(coalesce(info, ''), '(?:^|;)GMAF=([0-9.eE+-]+)', 1), '') as double), 0.0001)) as af
   from known_indels where contig is not null and pos is not null and alt_allele not like '%,%' and length(ref_allele) <> length(alt_allele) group by 1, 2)
@@ -390,3 +384,43 @@ def indel_known(spark, sf):
     """Indel calls with the frequency of the known indel they are."""
     calls = call_indels(_reads(spark, sf), table(spark, sf, "refseq"))
     return with_known(calls, known_indels(table(spark, sf, "known_indels"))).select("sample_id", "contig", "pos", "ref", "alt", "af")
+
+
+@query(f"""with x as ({Q.indel_calls(Q.P_INDEL)}) select concat_ws(chr(9), contig, pos, '.', ref, alt, qual, filters, gt || ':' || vr || ':' || rr || ':' || dp || ':.') as line from x
+union all select concat_ws(chr(9), contig, pos, '.', ref, alt, qual, filters, gt || ':' || vr || ':' || rr || ':' || dp || ':.') from (
+with {Q.SNP_READS}, {Q.alleles(RSITE)}, {Q.majority(RSITE)},
+c as (select best.*, coalesce(cov.rr, 0) as rr, n + coalesce(cov.rr, 0) as dp from best left join cov using (sample_id, contig, pos) where coalesce(cov.dp, 0) + all_reads <= 8000 and post >= 0.109E0), d as (select *, {Q.SNP_F} as f from c)
+select contig, cast(pos + 1 as int) as pos, ref, allele as alt, {Q.SNP_Q} as qual, {Q.FILTERS} as filters, {Q.SNP_GT} as gt, cast(n as int) as vr, cast(rr as int) as rr, cast(dp as int) as dp from d) y""")
+def vcf_union(spark, sf):
+    """SNK5, SNK6, union: lines of both kinds of calls, without the probability's text."""
+    reads, ref, contigs = _reads(spark, sf), table(spark, sf, "refseq"), table(spark, sf, "contigs")
+    both = vcf_lines(call_snps(reads, ref), snp_record(), contigs).unionByName(vcf_lines(call_indels(reads, ref), indel_record(), contigs))
+    f = F.split("line", "\t")
+    return both.select(F.concat_ws("\t", *[f[i] for i in range(7)], f[9]).alias("line"))
+
+
+@query()
+def gvcf_lines(spark, sf):
+    """SNK7: the blocks of all samples as VCF lines with their reference base."""
+    rows = _records(spark, sf).withColumn("called", F.col("alt_allele") != ".")
+    blocks = nonvariant_blocks(rows, ["sample_id", "contig"]).withColumn("_from0", F.col("block_first") - 1).withColumn("_one", F.lit(1))
+    based = reference_pieces(blocks, tiles(table(spark, sf, "refseq")), "_from0", "_one").withColumn("ref", F.col("_ref"))
+    return vcf_lines(based, block_record(), table(spark, sf, "contigs"), "block_first")
+
+
+@query("""with e as (select event_type as contig, cast(floor(epoch(ts) / 3600) as bigint) as pos, substr('ACGT', cast(event_id % 4 as int) + 1, 1) as allele, cast(floor(value) as bigint) % 41 as qual, event_id % 3 <> 0 as nqs, (event_id % 100) / 100.0E0 as rel_pos, event_id % 2 = 0 as fwd from events),
+m as (select *, max(pos) over (partition by contig) as top from e)
+select contig, pos, allele, count(*) as n, cast(sum(qual) as bigint) as qsum, count(*) filter (where fwd) as fwd,
+ round(1 - exp(sum(ln(1 - 1 / (1 + exp(-(-9.088E0 + 0.162E0 * qual + 1.645E0 * cast(nqs as int) + 2.349E0 * rel_pos)))))), 6) as p_any from m where pos < top group by 1, 2, 3""")
+def stream_caller(spark, sf):
+    """ST1 to ST5: the events table as a stream, hours as positions; what the stream had finalized at its end."""
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    pos = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    rows = raw.select(
+        F.col("event_type").alias("contig"), pos.alias("read_start"), pos.alias("pos"), F.substring(F.lit("ACGT"), (F.col("event_id") % 4 + 1).cast("int"), F.lit(1)).alias("allele"),
+        (F.floor("value") % 41).alias("qual"), (F.col("event_id") % 3 != 0).alias("nqs"), ((F.col("event_id") % 100) / 100.0).alias("rel_pos"), (F.col("event_id") % 2 == 0).alias("fwd"),
+    )
+    out = scratch(spark)
+    (stream_alleles(rows).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{out}/rows").withColumn("p_any", F.round("p_any", 6))
