@@ -89,16 +89,20 @@ def reaches(v: np.ndarray, forced: np.ndarray, tol: Tolerance) -> np.ndarray:
     return end
 
 
-def chain(reach: np.ndarray) -> np.ndarray:
-    """The events that begin a run in the optimum from event 0, as a mask."""
+def optimum(reach: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Bellman's recursion after pruning: (events that begin a run in the optimum from event 0, as a mask; best cost from each event on).
+
+    ``best(i) = penalty + best(reach(i))``; both are taken along the chains in doubling steps, all events at once.
+    """
     n = len(reach)
-    marks = np.zeros(n + 1, bool)
+    marks, best = np.zeros(n + 1, bool), np.append(np.full(n, penalty), 0.0)
     marks[0] = True
     jump = np.append(reach, n)
     while True:
         marks[jump[np.flatnonzero(marks)]] = True
-        if jump[0] == n:
-            return marks[:n]
+        if (jump == n).all():
+            return marks[:n], best[:n]
+        best += np.where(np.arange(n + 1) < n, best[jump], 0.0)
         jump = jump[jump]
 
 
@@ -169,7 +173,7 @@ def _solve(rows: pa.Table, keys: int, width: int, zero: int | None, tol: Toleran
     if zero is not None:
         forced[1:] |= (v[1:, zero] == 0) != (v[:-1, zero] == 0)
     reach = reaches(v, forced, tol)
-    marks = chain(reach)
+    marks, _ = optimum(reach)
     s = np.flatnonzero(start)
     e = np.append(s[1:], len(pos))
     begin = np.flatnonzero(marks)

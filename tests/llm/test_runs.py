@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from siftbase.llm.runs import collapse_runs
+from siftbase.llm.runs import Tolerance, collapse_runs, optimum, reaches
 
 
 def greedy(rows):
@@ -78,3 +79,29 @@ def test_nulls_ties_and_empty(spark):
     got = collapse_runs(spark.createDataFrame(data, schema), *args)
     assert sorted(tuple(r)[2:5] for r in got.collect()) == [(1, 2, 2), (8, 8, 1), (8, 9, 2)]
     assert collapse_runs(spark.createDataFrame([], schema), *args).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pruned_program_equals_the_full_one(seed):
+    """All candidates, none pruned: least cost, and of equal ones the longest first run."""
+    rng = np.random.default_rng(seed)
+    n, tol = 60, Tolerance()
+    v = np.cumsum(rng.integers(-2, 3, (n, 2)), axis=0) + 15
+    forced = rng.random(n) < 0.05
+    reach = reaches(v, forced, tol)
+    marks, best = optimum(reach, 2.5)
+    full, choice = np.zeros(n + 1), np.zeros(n, int)
+    for i in range(n - 1, -1, -1):
+        costs = {}
+        for j in range(i + 1, n + 1):
+            if forced[i + 1 : j].any() or not tol.holds(v[i:j].min(0), v[i:j].max(0)):
+                continue
+            costs[j] = 2.5 + full[j]
+        full[i] = min(costs.values())
+        choice[i] = max(j for j, c in costs.items() if c == full[i])
+    assert np.allclose(best, full[:n])
+    at, starts = 0, []
+    while at < n:
+        starts.append(at)
+        at = choice[at]
+    assert np.flatnonzero(marks).tolist() == starts
