@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftbase.config import CallerOptions
-from siftbase.operators.carry import neighbours, running
+from siftbase.operators.carry import neighbours, running_many
 
 WIDTH = 1 << 14
 NAMES = ("dp", "rr", "vr")
@@ -84,8 +84,8 @@ def nonvariant_blocks(rows: DataFrame, keys: list[str], pos: str = "pos", called
         breaks = breaks | ~_inside(F.least(a, b), F.greatest(a, b), o)
     hard = ~joined | F.col("_prev._called") | F.col("_called") | (~last & breaks)
     r = r.withColumn("_joined", joined).withColumn("_last", last).withColumn("_hard", hard)
-    r = running(r, keys, [F.col("_pos")], F.when(F.col("_hard"), F.col("_pos")), "_label", "max")
-    r = running(r, keys, [F.col("_pos")], F.when(F.col("_hard"), F.col("_pos")), "_label_before", "max", inclusive=False)
+    label = F.when(F.col("_hard"), F.col("_pos"))
+    r = running_many(r, keys, [F.col("_pos")], [(label, "_label", "max", True), (label, "_label_before", "max", False)])
     item = lambda term: F.struct(F.col("_pos").alias("pos"), F.col("_v").alias("v"), F.lit(term).alias("term"), F.col("_last").alias("last"), F.col("_called").alias("called"))
     own = F.when(~F.col("_called"), F.struct(F.col("_label").alias("l"), item(0).alias("x")))
     ends = F.when(F.col("_hard") & F.col("_joined") & ~F.col("_prev._called"), F.struct(F.col("_label_before").alias("l"), item(1).alias("x")))

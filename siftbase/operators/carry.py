@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftbase.session import same
-
 AGGREGATES = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, None)}
 
 
@@ -21,46 +19,42 @@ def with_bin(df: DataFrame, order: str, width: int, name: str = "_bin") -> DataF
     return df.withColumn(name, F.floor(F.col(order) / F.lit(width)).cast("long"))
 
 
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    value: Column,
-    out: str,
-    how: str = "max",
-    bin_col: str = "_bin",
-    inclusive: bool = True,
-) -> DataFrame:
-    """Add ``out``: ``how`` of ``value`` over the rows of the key up to this one.
+def running_many(df: DataFrame, keys: list[str], order: list[Column], specs: list[tuple[Column, str, str, bool]], bin_col: str = "_bin") -> DataFrame:
+    """Add for each (value, out, how, inclusive) the aggregate of the value over the rows of the key up to this one.
 
     ``df`` has ``bin_col``, non-decreasing along ``order``. Null values are
-    skipped; before the first value ``out`` is null (0 for sums). With
-    ``inclusive=False`` the row itself is left out.
+    skipped; before the first value ``out`` is null (0 for sums). Without
+    ``inclusive`` the row itself is left out. All of them share one summary per
+    bin, one join and one sort.
     """
-    agg, combine = AGGREGATES[how]
-    df = df.withColumn("_value", value)
-    per_bin = df.groupBy(*keys, bin_col).agg(agg("_value").alias("_of_bin"))
+    for i, (value, *_) in enumerate(specs):
+        df = df.withColumn(f"_value{i}", value)
+    per_bin = df.groupBy(*keys, bin_col).agg(*[AGGREGATES[how][0](f"_value{i}").alias(f"_of_bin{i}") for i, (_, _, how, _) in enumerate(specs)])
     before = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bin.select(
         *[F.col(k).alias(f"_c_{i}") for i, k in enumerate([*keys, bin_col])],
-        agg("_of_bin").over(before).alias("_carry"),
+        *[AGGREGATES[how][0](f"_of_bin{i}").over(before).alias(f"_carry{i}") for i, (_, _, how, _) in enumerate(specs)],
     )
     cond = F.lit(True)
     for i, k in enumerate([*keys, bin_col]):
         one = df[k].eqNullSafe(carry[f"_c_{i}"])
         cond = one if i == 0 else cond & one
     joined = df.join(carry, cond, "left").drop(*[f"_c_{i}" for i in range(len(keys) + 1)])
-    here = (
-        Window.partitionBy(*keys, bin_col)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    )
-    local = agg("_value").over(here)
-    if combine is None:
-        total = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(local, F.lit(0))
-    else:
-        total = combine(F.col("_carry"), local)
-    return joined.withColumn(out, total).drop("_value", "_carry")
+    here = Window.partitionBy(*keys, bin_col).orderBy(*order)
+    outs = {}
+    for i, (_, out, how, inclusive) in enumerate(specs):
+        agg, combine = AGGREGATES[how]
+        local = agg(f"_value{i}").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+        if combine is None:
+            outs[out] = F.coalesce(F.col(f"_carry{i}"), F.lit(0)) + F.coalesce(local, F.lit(0))
+        else:
+            outs[out] = combine(F.col(f"_carry{i}"), local)
+    return joined.withColumns(outs).drop(*[f"_{x}{i}" for x in ("value", "carry") for i in range(len(specs))])
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, how: str = "max", bin_col: str = "_bin", inclusive: bool = True) -> DataFrame:
+    """running_many of one value."""
+    return running_many(df, keys, order, [(value, out, how, inclusive)], bin_col)
 
 
 def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], width: int) -> DataFrame:
@@ -86,4 +80,4 @@ def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], w
     return out.drop("_row", "_before", "_after", *[f"_e_{i}" for i in range(len(keys) + 1)])
 
 
-__all__ = ["neighbours", "running", "same", "with_bin"]
+__all__ = ["neighbours", "running", "running_many", "with_bin"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftbase.operators.carry import running, with_bin
+from siftbase.operators.carry import running_many, with_bin
 
 BIN = 1 << 15
 
@@ -19,8 +19,7 @@ def _deltas(intervals: DataFrame, keys: list[str], weights: list[str], first: st
 def _sweep(deltas: DataFrame, keys: list[str], weights: list[str], cap: int | None, extra: list | None = None) -> DataFrame:
     summed = deltas.groupBy(*keys, "pos").agg(*[F.sum(w).alias(w) for w in weights], *(extra or []))
     rows = with_bin(summed, "pos", BIN)
-    for w in weights:
-        rows = running(rows, keys, [F.col("pos")], F.col(w), f"_sum_{w}", "sum")
+    rows = running_many(rows, keys, [F.col("pos")], [(F.col(w), f"_sum_{w}", "sum", True) for w in weights])
     depth = [(F.least(F.col(f"_sum_{w}"), F.lit(cap)) if cap else F.col(f"_sum_{w}")).cast("long").alias(w) for w in weights]
     return rows.select(*[c for c in rows.columns if c not in weights and not c.startswith("_sum_")], *depth)
 
