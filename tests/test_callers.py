@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from siftbase import cli
 from siftbase.config import CallerOptions
 from siftbase.functions.scalars import cigar_to_text
 from siftbase.operators.calls import allele_counts, call_indels, call_snps, majority, merge_indels, top_indels
@@ -209,3 +210,22 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r["contig"], r["pos"], r["allele"], r["n"], r["qsum"], r["fwd"], round(r["p_any"], 9)) for r in run("out").collect())
     batch = allele_counts(spark.createDataFrame(rows, schema), ["contig", "pos"]).collect()
     assert got == sorted((r["contig"], r["pos"], r["allele"], r["n"], r["qsum"], r["fwd"], round(r["p_any"], 9)) for r in batch)
+
+
+def test_command_line(spark, tmp_path):
+    lines = ["@SQ\tSN:c\tLN:300"]
+    for r in snp_reads():
+        lines.append("\t".join([r[0], str(r[2]), "c", str(r[4] + 1), "60", "".join(f"{n}{o}" for o, n in r[6]), "*", "0", "0", r[7], "G" * len(r[7]), f"NM:i:{r[9]}"]))
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    (tmp_path / "r.fa").write_text(f">c\n{R}\n")
+    (tmp_path / "t.bed").write_text("c 51 100\n")
+    cli.main(["-r", str(tmp_path / "r.fa"), "-b", str(tmp_path / "a.sam"), "-s", "one", "-p", str(tmp_path / "out"), "-c", str(tmp_path / "t.bed"), "-g"], spark)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out_snp.vcf").glob("part-*")))
+    body = [x.split("\t") for x in text.split("\n") if x and x[0] != "#"]
+    # region 51..100: no coverage, 12 reads from 61, the call at 76, then coverage to 90 and none
+    assert [(x[1], x[7].split(";")[0], x[7].rpartition("=")[2]) for x in body if x[4] == "."] == [("51", "END=60", "nocov2cov"), ("61", "END=75", "blocked"), ("77", "END=90", "cov2nocov"), ("91", "END=100", "endofregion")]
+    assert [x[1:5] for x in body if x[4] != "."] == [["76", ".", R[75], "T"]]
+    indels = "".join(p.read_text() for p in sorted((tmp_path / "out_indel.vcf").glob("part-*")))
+    assert "low_qual" in indels and not [x for x in indels.split("\n") if x and x[0] != "#"]
+    with pytest.raises(ValueError):
+        CallerOptions(min_snp_mapq=0, min_indel_mapq=5)
