@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftbase.operators.intervals import merge_intervals
+from siftbase.session import fresh
 
 
 def _bins(first: str, last: str, width: int) -> Column:
@@ -35,13 +36,14 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     never multiplies rows.
     """
     merged = merge_intervals(intervals, keys, first, second).where("kind = 'merged'")
-    spread = merged.withColumn("_bin", _bins(first, second, width)).select(*[F.col(k).alias(f"_i_{k}") for k in keys], "_bin", F.col(first).alias("_a"), F.col(second).alias("_z"))
-    rows = points.withColumn("_pbin", F.floor(F.col(point) / width))
-    cond = (F.col("_pbin") == F.col("_bin")) & (F.col(point) >= F.col("_a")) & (F.col(point) <= F.col("_z"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_i_{k}"))
-    met = rows.join(spread, cond, "left")
-    return met.withColumn(out, F.col("_a").isNotNull()).drop("_pbin", "_bin", "_a", "_z", *[f"_i_{k}" for k in keys])
+    bin_, a, z = (fresh(x, points) for x in ("_bin", "_a", "_z"))
+    ks = {k: fresh(f"_i_{k}", points) for k in keys}
+    spread = merged.withColumn(bin_, _bins(first, second, width)).select(*[F.col(k).alias(x) for k, x in ks.items()], bin_, F.col(first).alias(a), F.col(second).alias(z))
+    cond = (F.floor(F.col(point) / width) == F.col(bin_)) & (F.col(point) >= F.col(a)) & (F.col(point) <= F.col(z))
+    for k, x in ks.items():
+        cond = cond & (F.col(k) == F.col(x))
+    met = points.join(spread, cond, "left")
+    return met.withColumn(out, F.col(a).isNotNull()).drop(bin_, a, z, *ks.values())
 
 
 def with_targets(contigs: DataFrame, targets: DataFrame) -> DataFrame:

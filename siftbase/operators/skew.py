@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftbase.session import fresh
+
 #: Items a frequent-items sketch reports at most; the heavy side's size bound.
 MOST_HEAVY = 1024
 
@@ -47,8 +49,9 @@ def split_apply(
 
     ``heavy`` has at most ``MOST_HEAVY`` rows (see heavy_keys). Rows with a null key are light.
     """
-    keys = F.broadcast(heavy.select(F.col(key).alias("_heavy_key")))
-    cond = F.col(key) == F.col("_heavy_key")
+    name = fresh("_heavy_key", df)
+    keys = F.broadcast(heavy.select(F.col(key).alias(name)))
+    cond = F.col(key) == F.col(name)
     return on_heavy(df.join(keys, cond, "left_semi")).unionByName(on_light(df.join(keys, cond, "left_anti")))
 
 
@@ -71,12 +74,15 @@ def skew_join(
 
     Defined cases: null keys match nothing (kept by ``left``); a table without
     a heavy key, or without rows, is an ordinary join; columns of both sides
-    with one name, but for the key, get the suffix ``_dim`` on the right.
+    with one name, but for the key, get the suffix ``_dim`` on the right (and
+    an underscore more while that is taken too).
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     own = {c.lower() for c in facts.columns}
-    dims = dims.withColumnsRenamed({c: f"{c}_dim" for c in dims.columns if c != key and c.lower() in own})
+    for c in dims.columns:
+        if c != key and c.lower() in own:
+            dims = dims.withColumnRenamed(c, fresh(f"{c}_dim", facts, dims))
     heavy = heavy_keys(facts, key, share)[0] if heavy is None else heavy
     names = [r[0] for r in heavy.select(key).collect()]
     few = facts.sparkSession.createDataFrame([(x,) for x in names], heavy.select(key).schema)

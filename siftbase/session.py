@@ -59,3 +59,12 @@ def distinct_rows(df: DataFrame, id_col: str, *columns: str) -> DataFrame:
     """
     own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     return df.select(id_col, *columns, own.alias("_own")).distinct().drop("_own")
+
+
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its letter case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -71,6 +71,8 @@ def test_heavy_keys_and_join(spark):
         got = Counter((r["contig"], r["ord"], r["ord_dim"]) for r in skew_join(df, dims, "contig", 0.04, how).collect())
         d = {"hot": 1, "k1": 2, "k2": 3}
         assert got == Counter((c, o, d.get(c)) for c, o in rows if how == "left" or c in d)
+    clash = df.withColumns({"_heavy_key": F.lit(1), "ord_dim": F.lit("x")})
+    assert skew_join(clash, dims, "contig", 0.04, "left").columns == ["contig", "ord", "_heavy_key", "ord_dim", "ord_dim_"]
     assert skew_join(df, dims, "contig", 0.04, "left", dim_rows=0).count() == 1000
     empty, n = heavy_keys(df.limit(0), "contig", 0.5)
     assert n == 0 and empty.count() == 0 and skew_join(df.limit(0), dims, "contig").count() == 0
