@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftbase.session import cut
+from siftbase.session import cut, fresh
 
 #: Values in one row of a summary; a (group, part) with more takes several rows.
 ROW_VALUES = 4096
@@ -181,7 +181,8 @@ def multi_select(summaries: DataFrame, group: str, quantiles: list[float]) -> Da
 
 def above_median(df: DataFrame, medians: DataFrame, group: str, value: str, times: float) -> DataFrame:
     """Rows of ``df`` whose value is more than ``times`` the median of their group (from multi_select)."""
-    m = medians.select(F.col(group).alias("_mg"), F.col("value").alias("_median"))
+    g, median = fresh("_mg", df), fresh("_median", df)
+    m = medians.select(F.col(group).alias(g), F.col("value").alias(median))
     if m.limit(BROADCAST_STATE + 1).count() <= BROADCAST_STATE:
         m = F.broadcast(m)
-    return df.join(m, F.col(group).eqNullSafe(F.col("_mg"))).where(F.col(value) > F.lit(times) * F.col("_median")).drop("_mg", "_median")
+    return df.join(m, F.col(group).eqNullSafe(F.col(g))).where(F.col(value) > F.lit(times) * F.col(median)).drop(g, median)

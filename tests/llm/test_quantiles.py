@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftbase.llm import quantiles
 from siftbase.llm.quantiles import above_median, combine, multi_select, summarise
@@ -44,4 +45,5 @@ def test_empty_and_outliers(spark):
     assert multi_select(summarise(empty, "g", "x", "day"), "g", [0.5]).count() == 0
     df = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", 2, 21), ("a", 2, 20), (None, 1, 5)], "g string, day int, x int")
     med = multi_select(summarise(df, "g", "x", "day"), "g", [0.5])
+    assert above_median(df.withColumns({"_median": F.lit(1), "_mg": F.lit(2), "n": F.lit(3)}), med, "g", "x", 10.0).columns == ["g", "day", "x", "_median", "_mg", "n"]
     assert [r["x"] for r in above_median(df, med, "g", "x", 10.0).collect()] == [21]
