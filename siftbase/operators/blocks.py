@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftbase.config import CallerOptions
-from siftbase.operators.carry import neighbours, running_many
+from siftbase.operators.carry import neighbours, packed, running_many
 
 WIDTH = 1 << 14
 NAMES = ("dp", "rr", "vr")
@@ -72,7 +72,8 @@ def nonvariant_blocks(rows: DataFrame, keys: list[str], pos: str = "pos", called
     position the one with the largest values stands.
     """
     o = o or CallerOptions()
-    clean = rows.dropna(subset=[pos, *NAMES]).groupBy(*keys, F.col(pos).cast("long").alias("_pos"))
+    names, keys = keys, ["_key"]
+    clean = rows.dropna(subset=[pos, *NAMES]).withColumn("_key", packed(names)).groupBy(*keys, F.col(pos).cast("long").alias("_pos"))
     clean = clean.agg(F.max(F.struct(F.array(*[F.col(c).cast("double") for c in NAMES]).alias("v"), F.coalesce(F.col(called), F.lit(False)).alias("c"))).alias("_x"))
     clean = clean.select(*keys, F.col("_pos"), F.col("_x.v").alias("_v"), F.col("_x.c").alias("_called"))
     r = neighbours(clean, keys, "_pos", ["_v", "_called"], WIDTH)
@@ -99,4 +100,4 @@ def nonvariant_blocks(rows: DataFrame, keys: list[str], pos: str = "pos", called
         sd = F.when(k > 1, F.sqrt(F.greatest((sq - total * total / k) / (k - 1), F.lit(0.0)))).otherwise(0.0)
         stats += [F.get("b.lo", F.lit(i)).cast("long").alias(f"{c}_min"), F.get("b.hi", F.lit(i)).cast("long").alias(f"{c}_max"), mean.alias(f"{c}_mean"), sd.alias(f"{c}_sd")]
     kind = rows.schema[pos].dataType
-    return b.select(*keys, F.col("b.first").cast(kind).alias("block_first"), F.col("b.last").cast(kind).alias("block_last"), F.col("b.reason").alias("reason"), F.col("b.k").alias("n_stats"), *stats)
+    return b.select(*[F.col("_key")[k].alias(k) for k in names], F.col("b.first").cast(kind).alias("block_first"), F.col("b.last").cast(kind).alias("block_last"), F.col("b.reason").alias("reason"), F.col("b.k").alias("n_stats"), *stats)

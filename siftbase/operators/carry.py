@@ -9,6 +9,8 @@ tasks as it has bins, and the pass over the summaries has at most
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def with_bin(df: DataFrame, order: str, width: int, name: str = "_bin") -> DataF
     return df.withColumn(name, F.floor(F.col(order) / F.lit(width)).cast("long"))
 
 
+def packed(keys: list[str]) -> Column:
+    """The keys as one struct, which is never null and in which null equals null.
+
+    Joins on it are plain equi-joins, so that they and the windows and
+    aggregations around them share one partitioning by (key, bin).
+    """
+    return F.struct(*keys)
+
+
+def _equal(left: DataFrame, right: DataFrame, columns: list[str], prefix: str) -> Column:
+    """Equality of the columns, the last of them the bin, with null equal to null."""
+    conds = [left[k] == right[f"{prefix}{i}"] if not left.schema[k].nullable or i == len(columns) - 1 else left[k].eqNullSafe(right[f"{prefix}{i}"]) for i, k in enumerate(columns)]
+    return reduce(Column.__and__, conds)
+
+
 def running_many(df: DataFrame, keys: list[str], order: list[Column], specs: list[tuple[Column, str, str, bool]], bin_col: str = "_bin") -> DataFrame:
     """Add for each (value, out, how, inclusive) the aggregate of the value over the rows of the key up to this one.
 
@@ -35,11 +52,7 @@ def running_many(df: DataFrame, keys: list[str], order: list[Column], specs: lis
         *[F.col(k).alias(f"_c_{i}") for i, k in enumerate([*keys, bin_col])],
         *[AGGREGATES[how][0](f"_of_bin{i}").over(before).alias(f"_carry{i}") for i, (_, _, how, _) in enumerate(specs)],
     )
-    cond = F.lit(True)
-    for i, k in enumerate([*keys, bin_col]):
-        one = df[k].eqNullSafe(carry[f"_c_{i}"])
-        cond = one if i == 0 else cond & one
-    joined = df.join(carry, cond, "left").drop(*[f"_c_{i}" for i in range(len(keys) + 1)])
+    joined = df.join(carry, _equal(df, carry, [*keys, bin_col], "_c_"), "left").drop(*[f"_c_{i}" for i in range(len(keys) + 1)])
     here = Window.partitionBy(*keys, bin_col).orderBy(*order)
     outs = {}
     for i, (_, out, how, inclusive) in enumerate(specs):
@@ -70,14 +83,10 @@ def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], w
         *[F.col(k).alias(f"_e_{i}") for i, k in enumerate([*keys, "_bin"])],
         F.lag("_tail").over(along).alias("_before"), F.lead("_head").over(along).alias("_after"),
     )
-    cond = F.lit(True)
-    for i, k in enumerate([*keys, "_bin"]):
-        one = rows[k].eqNullSafe(ends[f"_e_{i}"])
-        cond = one if i == 0 else cond & one
     here = Window.partitionBy(*keys, "_bin").orderBy(order)
-    out = rows.join(ends, cond, "left")
+    out = rows.join(ends, _equal(rows, ends, [*keys, "_bin"], "_e_"), "left")
     out = out.withColumn("_prev", F.coalesce(F.lag("_row").over(here), "_before")).withColumn("_next", F.coalesce(F.lead("_row").over(here), "_after"))
     return out.drop("_row", "_before", "_after", *[f"_e_{i}" for i in range(len(keys) + 1)])
 
 
-__all__ = ["neighbours", "running", "running_many", "with_bin"]
+__all__ = ["neighbours", "packed", "running", "running_many", "with_bin"]

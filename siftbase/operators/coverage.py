@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftbase.operators.carry import running_many, with_bin
+from siftbase.operators.carry import packed, running_many, with_bin
 
 BIN = 1 << 15
 
@@ -30,20 +30,20 @@ def coverage_runs(intervals: DataFrame, keys: list[str], weights: list[str], fir
     Cumulative sums carry over from bin to bin, so that a contig isn't a task.
     Intervals include both ends; null or reversed ones count nowhere.
     """
+    names, keys = keys, ["_key"]
+    intervals = intervals.withColumn("_key", packed(names))
     depth = _sweep(_deltas(intervals, keys, weights, first, last), keys, weights, cap)
     # the next change: inside the bin, or the first one of a later bin
     bins = depth.groupBy(*keys, "_bin").agg(F.min("pos").alias("_first"))
     later = Window.partitionBy(*keys).orderBy("_bin")
     bins = bins.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_nb"), F.lead("_first").over(later).alias("_next_bin"))
-    cond = depth["_bin"] == bins["_nb"]
-    for i, k in enumerate(keys):
-        cond = cond & depth[k].eqNullSafe(bins[f"_n{i}"])
+    cond = (depth["_key"] == bins["_n0"]) & (depth["_bin"] == bins["_nb"])
     here = Window.partitionBy(*keys, "_bin").orderBy("pos")
     out = depth.join(bins, cond, "left").withColumn("_to", F.coalesce(F.lead("pos").over(here), F.col("_next_bin")) - 1)
     some = F.lit(False)
     for w in weights:
         some = some | (F.col(w) != 0)
-    return out.where(some & F.col("_to").isNotNull()).select(*keys, F.col("pos").alias("first"), F.col("_to").alias("last"), *weights)
+    return out.where(some & F.col("_to").isNotNull()).select(*[F.col("_key")[k].alias(k) for k in names], F.col("pos").alias("first"), F.col("_to").alias("last"), *weights)
 
 
 def coverage_at(intervals: DataFrame, points: DataFrame, keys: list[str], weights: list[str], point: str = "pos", cap: int | None = 16383) -> DataFrame:
@@ -52,7 +52,9 @@ def coverage_at(intervals: DataFrame, points: DataFrame, keys: list[str], weight
     The points take part in the sweep as rows of weight 0, so there is no join of
     sites with coverage at all.
     """
+    names, keys = keys, ["_key"]
+    intervals, points = intervals.withColumn("_key", packed(names)), points.withColumn("_key", packed(names))
     here = points.select(*keys, F.col(point).cast("long").alias("pos"), *[F.lit(0).cast("long").alias(w) for w in weights], F.lit(True).alias("_is")).distinct()
     deltas = _deltas(intervals, keys, weights, "first", "last").withColumn("_is", F.lit(False))
     swept = _sweep(deltas.unionByName(here), keys, weights, cap, [F.max("_is").alias("_is")])
-    return swept.where("_is").select(*keys, F.col("pos").cast("int").alias(point), *weights)
+    return swept.where("_is").select(*[F.col("_key")[k].alias(k) for k in names], F.col("pos").cast("int").alias(point), *weights)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftbase.operators.carry import running, with_bin
+from siftbase.operators.carry import packed, running, with_bin
 
 
 def merge_intervals(
@@ -34,11 +34,11 @@ def merge_intervals(
     merge; intervals with fewer than ``touch`` positions between them are
     continuous (1: touching ones); an empty table gives no rows.
     """
-    n = [f"_k{i}" for i in range(len(keys))]
+    n = ["_key"]
     rows = (
         df.where(F.col(first).isNotNull() & F.col(second).isNotNull() & (F.col(first) <= F.col(second)))
         .select(
-            *[F.col(k).alias(a) for k, a in zip(keys, n, strict=True)],
+            packed(keys).alias("_key"),
             F.col(first).cast("long").alias("_s"),
             F.col(second).cast("long").alias("_e"),
         )
@@ -60,7 +60,7 @@ def merge_intervals(
     kind = df.schema[first].dataType
     out = merged.select(*n, F.explode(F.array_compact(periods)).alias("_p"))
     return out.select(
-        *[F.col(a).alias(k) for k, a in zip(keys, n, strict=True)],
+        *[F.col("_key")[k].alias(k) for k in keys],
         F.col("_p.kind").alias("kind"),
         F.col("_p.a").cast(kind).alias(first),
         F.col("_p.b").cast(kind).alias(second),
