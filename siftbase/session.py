@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: str | int = 8, app: str = "siftbase", **conf: str) -> SparkSession:
     """A session for tests and local runs; a cluster brings its own."""
@@ -25,6 +29,20 @@ def local_session(cpus: str | int = 8, app: str = "siftbase", **conf: str) -> Sp
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's workers, once per application, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="spark-")) / f"{home.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(to))
+        _SHIPPED.add(sc.applicationId)
     return spark
 
 
