@@ -12,6 +12,7 @@ disjoint ranges of their sources' permuted blocks and are shuffled on their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,19 +38,35 @@ class Mixture:
     shares: DataFrame
 
 
-def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """Of each source (column) the number of blocks for each shard (row), by the splitting tree."""
+def split_ranges(blocks: list[int], shards: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
+    """(source, shard, first, last + 1) of the permuted blocks that each shard takes, by the splitting tree.
+
+    A node keeps only the sources it has blocks of, so that the tree costs no
+    more than the number of blocks times its depth, however many the sources.
+    """
     rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(blocks)), np.int64)
-    todo = [(0, shards, np.array(blocks, np.int64))]
+    all_ = np.array(blocks, np.int64)
+    kept = np.flatnonzero(all_)
+    todo = [(0, shards, kept, all_[kept], np.zeros(len(kept), np.int64))]
     while todo:
-        first, n, have = todo.pop()
-        if n == 1 or not len(have):
-            out[first] = have
+        first, n, source, have, start = todo.pop()
+        if not len(source):
+            continue
+        if n == 1:
+            yield from zip(source.tolist(), [first] * len(source), start.tolist(), (start + have).tolist(), strict=True)
             continue
         half = n // 2
         left = rng.multivariate_hypergeometric(have, int(have.sum()) * half // n, method="marginals")
-        todo += [(first, half, left), (first + half, n - half, have - left)]
+        for at, k, part, begin in ((first, half, left, start), (first + half, n - half, have - left, start + left)):
+            some = part > 0
+            todo.append((at, k, source[some], part[some], begin[some]))
+
+
+def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
+    """Of each source (column) the number of blocks for each shard (row)."""
+    out = np.zeros((shards, len(blocks)), np.int64)
+    for source, shard, a, z in split_ranges(blocks, shards, seed):
+        out[shard, source] = z - a
     return out
 
 
@@ -128,14 +145,13 @@ def mix_sources(
     order = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(seed + 1), "k", "repeat", "block"), "repeat", "block")
     blocks = blocks.withColumn("ordinal", F.row_number().over(order) - 1)
     counts = {r["k"]: (r["n"], r["t"]) for r in taken.groupBy("k").agg(F.count_distinct("repeat", "block").alias("n"), F.sum("n_tokens").alias("t")).collect()}
-    n_shards = max(1, -(-sum(t for _, t in counts.values()) // shard_tokens))
-    dealt = split_blocks([counts.get(k, (0, 0))[0] for k in range(len(rows))], n_shards, seed)
-    ends = np.cumsum(dealt, axis=0)
-    ranges = [(k, s, int(ends[s, k] - dealt[s, k]), int(ends[s, k])) for k in range(len(rows)) for s in range(n_shards) if dealt[s, k]]
+    n_blocks = sum(n for n, _ in counts.values())
+    n_shards = max(1, min(n_blocks, -(-sum(t for _, t in counts.values()) // shard_tokens)))
+    ranges = list(split_ranges([counts.get(k, (0, 0))[0] for k in range(len(rows))], n_shards, seed))
     ranges_df = spark.createDataFrame(ranges, "k int, shard int, a long, z long")
     shard_of = ranges_df.select("k", "shard", F.explode(F.sequence("a", F.col("z") - 1)).alias("ordinal"))
     shard_of = blocks.join(shard_of, ["k", "ordinal"]).select("k", "repeat", "block", "shard")
-    if sum(n for n, _ in counts.values()) <= BROADCAST_BLOCKS:
+    if n_blocks <= BROADCAST_BLOCKS:
         shard_of = F.broadcast(shard_of)
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "_hash"), "doc", "repeat")
     mixed = taken.join(shard_of, ["k", "repeat", "block"]).withColumn("position", F.row_number().over(shuffled) - 1)

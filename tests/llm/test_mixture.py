@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from siftbase.llm.bpe import VOCABULARY, encoder
-from siftbase.llm.mixture import mix_sources, split_blocks
+from siftbase.llm.mixture import mix_sources, split_blocks, split_ranges
 
 
 def test_splitting_tree_is_exact():
@@ -14,6 +14,17 @@ def test_splitting_tree_is_exact():
     assert split_blocks([], 3, 1).shape == (3, 0)
 
 
+def test_ranges_of_a_source_are_disjoint_and_whole():
+    blocks = [0, 1, 5000, 0, 3, 77]
+    taken = {}
+    for source, _, a, z in split_ranges(blocks, 41, 5):
+        taken.setdefault(source, []).append((a, z))
+    for k, n in enumerate(blocks):
+        ranges = sorted(taken.get(k, []))
+        assert [a for a, _ in ranges] == [0, *[z for _, z in ranges][:-1]] if n else not ranges
+        assert not n or ranges[-1][1] == n
+
+
 @pytest.fixture
 def corpus(spark):
     data = [(i, f"some words {i} " * (1 + i % 7), s, "x") for s, n in (("big", 400), ("mid", 90), ("small", 12), ("other", 50)) for i in range(n)]
