@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftbase.functions.scalars import cigar_from_text, phred
+from siftbase.operators.carry import running
 from siftbase.operators.joins import known_key
 
 
@@ -32,13 +33,30 @@ def read_sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, tile: int = 5000) -> DataFrame:
-    """SRC5: contig, tile_start, seq in tiles. One record of the text is one contig; tiles leave it at once."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
-    head = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    rows = records.select(head.alias("contig"), seq.alias("_s")).where(F.length("_s") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.length("_s") - 1, F.lit(tile)))
-    return rows.select("contig", "_s", at.alias("tile_start")).select("contig", "tile_start", F.substring("_s", F.col("tile_start") + 1, F.lit(tile)).alias("seq"))
+    """SRC5: contig, tile_start, seq in tiles.
+
+    Lines are read in splits of the file, so a contig is never one row: the bases
+    before a line and the header it stands under are running aggregates over
+    (file, split), carried from split to split, and lines meet again by tile.
+    Lines before the first header and contigs without bases are left out; a
+    contig that comes twice gives its tiles twice.
+    """
+    base = F.when(F.startswith("value", F.lit(">")), F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+        base.alias("_s"), F.when(F.startswith("value", F.lit(">")), F.regexp_extract("value", r"^>(\S+)", 1)).alias("_name"),
+    )
+    rows = running(lines, ["_file"], [F.col("_at")], F.length("_s").cast("long"), "_from", "sum", bin_col="_block", inclusive=False)
+    head = F.when(F.col("_name").isNotNull(), F.struct("_block", "_at", "_from", "_name"))
+    rows = running(rows, ["_file"], [F.col("_at")], head, "_head", "max", bin_col="_block")
+    rows = rows.where(F.length("_s") > 0).where(F.col("_head").isNotNull()).withColumn("_from", F.col("_from") - F.col("_head._from"))
+    no = F.explode(F.sequence(F.floor(F.col("_from") / tile), F.floor((F.col("_from") + F.length("_s") - 1) / tile)))
+    cut = rows.withColumn("_no", no).withColumn("tile_start", (F.col("_no") * tile).cast("int"))
+    skip = F.greatest(F.col("tile_start") - F.col("_from"), F.lit(0)).cast("int")
+    upto = (F.col("tile_start") + F.lit(tile) - F.col("_from")).cast("int")
+    piece = F.struct("_from", F.substring("_s", skip + 1, upto - skip).alias("s"))
+    met = cut.groupBy("_file", "_head", "tile_start").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    return met.select(F.col("_head._name").alias("contig"), "tile_start", F.array_join("_pieces.s", "").alias("seq"))
 
 
 def parse_bed(lines: DataFrame, column: str = "value", strict: bool = False, zero_based: bool = False) -> DataFrame:

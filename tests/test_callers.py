@@ -195,6 +195,47 @@ def test_bam_source(spark, tmp_path):
         load()
 
 
+def test_fasta_is_split_without_loss(spark, tmp_path):
+    want = {f"c{i}": ("ACGTNacgtn" * (n // 10 + 1))[:n] for i, n in enumerate([0, 1, 59, 60, 61, 5000, 12345])}
+    text = "before any header\n"
+    for i, (c, s) in enumerate(want.items()):
+        width, end = (7, 60, 9000)[i % 3], ("\n", "\r\n")[i % 2]
+        text += f">{c} more > words\n" + "".join(s[k : k + width] + end for k in range(0, len(s), width)) + "\n"
+    (tmp_path / "r.fa").write_text(text)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path / "r.fa")).rdd.getNumPartitions() > 3
+        rows = sorted(tuple(r) for r in read_fasta(spark, str(tmp_path / "r.fa"), 1000).collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    got = {}
+    for contig, start, seq in rows:
+        assert start == len(got.get(contig, "")) and 0 < len(seq) <= 1000
+        got[contig] = got.get(contig, "") + seq
+    assert got == {c: s for c, s in want.items() if s}
+
+
+def test_bam_is_split_without_loss(spark, tmp_path):
+    data = b"BAM\x01" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 40)
+    data += b"".join(struct.pack("<i", 5) + b"c%03d\0" % i + struct.pack("<i", 300) for i in range(40))  # a header over several parts
+    reads = [(f"r{i}", i * 7 % 280, (i * 37) % 20 if i % 50 else 900) for i in range(400)]  # some over many blocks
+    data += b"".join(bam_record(n, p, [("M", k)] if k else [], (R * 4)[:k], [i % 41 for i in range(k)], b"NMC\x00" * (p % 2)) for n, p, k in reads)
+    (tmp_path / "s.bam").write_bytes(bgzf(data))
+    spark.dataSource.register(BamSource)
+    for split in (0, 97, 1000, 5000):
+        df = spark.read.format("bam").option("path", str(tmp_path / "s.bam")).option("split_bytes", split).load()
+        if split == 97:  # every part, without a task for each
+            reader = BamSource({"path": str(tmp_path / "s.bam"), "split_bytes": "97"}).reader(None)
+            got = [(r[0], r[3], len(r[6])) for part in reader.partitions() for r in reader._records(part)]
+        else:
+            got = [(r["qname"], r["pos"], len(r["seq"])) for r in df.collect()]
+            assert df.rdd.getNumPartitions() == (1 if split == 0 else -(-len(bgzf(data)) // split))
+        assert sorted(got) == sorted(reads)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     schema = "contig string, read_start long, pos long, allele string, qual int, nqs boolean, rel_pos double, fwd boolean"
     rows = [("a" if i % 3 else "b", i // 4, i // 4 + i % 7, "ACG"[i % 3], 20 + i % 20, i % 2 == 0, (i % 10) / 10, i % 5 == 0) for i in range(200)]
