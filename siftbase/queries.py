@@ -14,7 +14,7 @@ from siftbase.operators.calls import allele_counts, call_indels, call_snps, majo
 from siftbase.operators.coverage import coverage_at, coverage_runs
 from siftbase.operators.intervals import merge_intervals, previous_gap
 from siftbase.operators.joins import overlap_join, point_in_interval, with_known, with_targets
-from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, reference_pieces, snp_walk, tiles, usable
+from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, op_sum, reference_pieces, snp_walk, tiles, usable
 from siftbase.operators.skew import heavy_keys, skew_join
 from siftbase.plans import sql as Q
 from siftbase.plans.evidence import evidence, read_spans
@@ -344,9 +344,10 @@ def novar_sites(spark, sf):
 r as (select distinct sample_id, contig, qname, flag, pos, length(seq) as n from aligned_reads where pos >= 0)
 select target_id, contig, count(*) as reads from t join r using (contig) where pos <= coord_second and pos + n - 1 >= coord_first group by 1, 2""")
 def target_overlap(spark, sf):
-    """J4, SRC2: reads that overlap each target."""
+    """J4, SRC2: reads that overlap each target with the span of their CIGAR; a read without one has its first base only."""
     t = distinct_rows(table(spark, sf, "targets").where("contig is not null"), "target_id", "contig", "coord_first", "coord_second")
-    r = table(spark, sf, "aligned_reads").where("pos >= 0").select("sample_id", "contig", "qname", "flag", "pos", (F.col("pos") + F.length("seq") - 1).alias("read_last")).distinct()
+    span = F.greatest(F.coalesce(op_sum("M", "D", "N", "=", "X"), F.lit(0)), F.lit(1))
+    r = table(spark, sf, "aligned_reads").where("pos >= 0").select("sample_id", "contig", "qname", "flag", "pos", (F.col("pos") + span - 1).alias("read_last")).distinct()
     return overlap_join(t, r, ["contig"], ("coord_first", "coord_second"), ("pos", "read_last")).groupBy("target_id", "contig").agg(F.count(F.lit(1)).alias("reads"))
 
 
