@@ -21,7 +21,7 @@ from siftbase.plans.evidence import evidence, read_spans
 from siftbase.session import distinct_rows, scratch, table
 from siftbase.sinks.vcf import block_record, indel_record, snp_record, vcf_lines
 from siftbase.sources.text import known_indels, parse_bed
-from siftbase.streaming.caller import stream_alleles
+from siftbase.streaming.caller import FLUSH, stream_alleles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,7 +414,7 @@ m as (select *, max(pos) over (partition by contig) as top from e)
 select contig, pos, allele, count(*) as n, cast(sum(qual) as bigint) as qsum, count(*) filter (where fwd) as fwd,
  round(1 - exp(sum(ln(1 - 1 / (1 + exp(-(-9.088E0 + 0.162E0 * qual + 1.645E0 * cast(nqs as int) + 2.349E0 * rel_pos)))))), 6) as p_any from m where pos < top group by 1, 2, 3""")
 def stream_caller(spark, sf):
-    """ST1 to ST5: the events table as a stream, hours as positions; what the stream had finalized at its end."""
+    """ST1 to ST5: the events table as a stream, hours as positions; at its end each key is flushed by a last micro-batch."""
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
     pos = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts)")
@@ -423,5 +423,12 @@ def stream_caller(spark, sf):
         (F.floor("value") % 41).alias("qual"), (F.col("event_id") % 3 != 0).alias("nqs"), ((F.col("event_id") % 100) / 100.0).alias("rel_pos"), (F.col("event_id") % 2 == 0).alias("fwd"),
     )
     out = scratch(spark)
-    (stream_alleles(rows).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination())
+    ends = table(spark, sf, "events").select(F.col("event_type").alias("contig")).distinct()
+    ends = ends.select("contig", *[F.lit(FLUSH).cast("long").alias(c) if c in ("read_start", "pos") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "contig"])
+    ends.limit(0).write.parquet(f"{out}/flush")
+    both = rows.unionByName(spark.readStream.schema(ends.schema).parquet(f"{out}/flush"))
+    for last in (False, True):  # the same stream goes on once the flush is there
+        if last:
+            ends.coalesce(1).write.mode("append").parquet(f"{out}/flush")
+        (stream_alleles(both).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{out}/rows").withColumn("p_any", F.round("p_any", 6))

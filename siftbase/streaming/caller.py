@@ -23,6 +23,10 @@ STATE = "mark long, pos array<long>, allele array<string>, n array<long>, qsum a
 COLUMNS = ["pos", "allele", "n", "qsum", "fwd", "miss"]
 
 
+def _sites(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts).groupby(["pos", "allele"], as_index=False).agg({"n": "sum", "qsum": "sum", "fwd": "sum", "miss": "prod"})
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else (-1, *[[] for _ in COLUMNS])
     mark = held[0]
@@ -33,9 +37,10 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             raise ValueError(f"{key}: a read that starts at {b['read_start'].min()} comes after sites before {mark} were finalized")
         top = max(top, int(b["read_start"].max()))
         b = b[b["read_start"] < FLUSH]
-        parts.append(pd.DataFrame({"pos": b["pos"], "allele": b["allele"], "n": 1, "qsum": b["qual"], "fwd": b["fwd"].astype("int64"), "miss": b["miss"]}))
+        if len(b):
+            parts.append(_sites([pd.DataFrame({"pos": b["pos"], "allele": b["allele"], "n": 1, "qsum": b["qual"], "fwd": b["fwd"].astype("int64"), "miss": b["miss"]})]))
     full = [p for p in parts if len(p)]
-    sites = pd.concat(full).groupby(["pos", "allele"], as_index=False).agg({"n": "sum", "qsum": "sum", "fwd": "sum", "miss": "prod"}) if full else parts[0]
+    sites = _sites(full) if full else parts[0]
     final = sites["pos"] < top
     left = sites[~final]
     state.update((top, *[left[c].tolist() for c in COLUMNS]))
