@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftbase.session import fresh
@@ -55,6 +55,30 @@ def split_apply(
     return on_heavy(df.join(keys, cond, "left_semi")).unionByName(on_light(df.join(keys, cond, "left_anti")))
 
 
+def skew_totals(df: DataFrame, key: str, share: float, aggs: list[Column], columns: list[str] | None = None) -> tuple[DataFrame, int]:
+    """One row of ``aggs`` per key, without a task per heavy key, and the number of rows of ``df``.
+
+    Keys that hold at least ``share`` of the rows meet the broadcast heavy keys
+    where their rows lie and are aggregated there before anything moves; the
+    rows of all other keys take the ordinary shuffle by key; then the union.
+
+    Defined cases: null is a key of its own among the light ones; a table
+    without a heavy key is an ordinary aggregation; an empty table gives no rows.
+    """
+    heavy, total = heavy_keys(df, key, share)
+    rows = df.select(*dict.fromkeys([key, *(columns or [])]))
+    return split_apply(
+        rows, key, _few(heavy, key),
+        lambda x: x.groupBy(key).agg(*aggs),
+        lambda x: x.repartition(key).groupBy(key).agg(*aggs),
+    ), total
+
+
+def _few(heavy: DataFrame, key: str) -> DataFrame:
+    """The heavy keys as a local table, so that they are found once."""
+    return heavy.sparkSession.createDataFrame([(r[0],) for r in heavy.select(key).collect()], heavy.select(key).schema)
+
+
 def skew_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -63,14 +87,20 @@ def skew_join(
     how: str = "inner",
     dim_rows: int = 100_000,
     heavy: DataFrame | None = None,
+    salted_rows: int = 500_000,
 ) -> DataFrame:
     """Join ``facts`` with ``dims`` on ``key`` without a task per heavy key.
 
     The dimension rows of heavy keys are broadcast, if there are at most
     ``dim_rows`` of them, and meet the facts where these lie; all other keys
-    take the ordinary shuffle. Where the heavy keys' dimension rows are too
-    many, everything takes the shuffle (and adaptive skew splitting). ``heavy``
-    gives the keys if they are known; else ``heavy_keys`` finds them.
+    take the ordinary shuffle. Heavy keys with more dimension rows than may be
+    broadcast are salted: their facts spread over so many salts that one has
+    about ``salted_rows`` of them, each dimension row is there once per salt, and
+    they meet by shuffle. ``heavy`` gives the keys (and ``n_rows``, their facts)
+    if they are known; else ``heavy_keys`` finds them.
+
+    A salt is a hash of the fact's row and its partition: a task that runs again
+    gives the same, and many equal rows, which lie in many partitions, spread too.
 
     Defined cases: null keys match nothing (kept by ``left``); a table without
     a heavy key, or without rows, is an ordinary join; columns of both sides
@@ -84,15 +114,21 @@ def skew_join(
         if c != key and c.lower() in own:
             dims = dims.withColumnRenamed(c, fresh(f"{c}_dim", facts, dims))
     heavy = heavy_keys(facts, key, share)[0] if heavy is None else heavy
-    names = [r[0] for r in heavy.select(key).collect()]
-    few = facts.sparkSession.createDataFrame([(x,) for x in names], heavy.select(key).schema)
+    found = heavy.select(key, *[c for c in heavy.columns if c == "n_rows"]).collect()
+    few = facts.sparkSession.createDataFrame([(r[0],) for r in found], heavy.select(key).schema)
     of_heavy = dims.join(F.broadcast(few), key, "left_semi")
-    if of_heavy.limit(dim_rows + 1).count() > dim_rows:
-        return facts.join(dims, key, how)
-    return split_apply(
-        facts,
-        key,
-        few,
-        lambda x: x.join(F.broadcast(of_heavy), key, how),
-        lambda x: x.join(dims, key, how),
-    )
+    light = lambda x: x.join(dims.hint("merge"), key, how)
+    if of_heavy.limit(dim_rows + 1).count() <= dim_rows:
+        return split_apply(facts, key, few, lambda x: x.join(F.broadcast(of_heavy), key, how), light)
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = [(r[0], max(2, -(-r["n_rows"] // salted_rows)) if "n_rows" in heavy.columns else partitions) for r in found]
+    number, salt = fresh("_salts", facts, dims), fresh("_salt", facts, dims)
+    spread = F.broadcast(facts.sparkSession.createDataFrame(salts, f"`{key}` {facts.schema[key].dataType.simpleString()}, {number} int"))
+    plain = [F.col(f"`{f.name}`") for f in facts.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+
+    def salted(x: DataFrame) -> DataFrame:
+        some = x.join(spread, key).withColumn(salt, F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.col(number)).cast("int")).drop(number)
+        copies = of_heavy.join(spread, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(number) - 1))).drop(number)
+        return some.join(copies.hint("merge"), [key, salt], how).drop(salt)
+
+    return split_apply(facts, key, few, salted, light)

@@ -15,7 +15,7 @@ from siftbase.operators.coverage import coverage_at, coverage_runs
 from siftbase.operators.intervals import merge_intervals, previous_gap
 from siftbase.operators.joins import overlap_join, point_in_interval, with_known, with_targets
 from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, op_sum, reference_pieces, snp_walk, tiles, usable
-from siftbase.operators.skew import heavy_keys, skew_join
+from siftbase.operators.skew import heavy_keys, skew_join, skew_totals
 from siftbase.plans import sql as Q
 from siftbase.plans.evidence import evidence, read_spans
 from siftbase.session import distinct_rows, scratch, table
@@ -41,8 +41,9 @@ def query(sql: str | None = None):
 select contig from var_records where contig is not null group by contig
 having 25 * count(*) >= (select count(*) from var_records)""")
 def p2_found(spark, sf):
-    """Contigs with at least a twenty-fifth of the rows as stored."""
-    return heavy_keys(table(spark, sf, "var_records"), "contig", 1 / 25)[0].select("contig")
+    """Contigs with at least a twenty-fifth of the rows as stored, from the counts of all contigs."""
+    counts, total = skew_totals(table(spark, sf, "var_records"), "contig", 0.01, [F.count(F.lit(1)).alias("records")])
+    return counts.where(F.col("contig").isNotNull() & (25 * F.col("records") >= total)).select("contig")
 
 
 @query("""
@@ -68,6 +69,21 @@ def p2_contig_stats(spark, sf):
     )
 
 
+@query("""
+with v as (select distinct rec_id, contig, pos, ref_allele from var_records where contig is not null and pos is not null),
+t as (select distinct contig, tile_start, seq from refseq where contig is not null and tile_start is not null and seq is not null)
+select v.contig, v.pos // 5000 as tile_no, count(*) as records, count(*) filter (where substr(upper(ref_allele), 1, 1) = upper(substr(seq, cast(pos - 1 - tile_start as int) + 1, 1))) as agreeing
+from v join t on v.contig = t.contig and t.tile_start = 5000 * ((v.pos - 1) // 5000) where v.pos >= 1 group by 1, 2""")
+def p2_tile_agreement(spark, sf):
+    """Records per tile of the reference, and how many have its base; many short keys and a wide dimension, so that both ways of the join run."""
+    rows = table(spark, sf, "var_records").where("contig is not null and pos >= 1").select("rec_id", "contig", "pos", "ref_allele")
+    rows = distinct_rows(rows, "rec_id", "contig", "pos", "ref_allele").withColumn("tile", F.concat_ws(":", "contig", (5000 * F.floor((F.col("pos") - 1) / 5000)).cast("string")))
+    tiles_ = table(spark, sf, "refseq").where("contig is not null and tile_start is not null and seq is not null").select(F.concat_ws(":", "contig", F.col("tile_start").cast("string")).alias("tile"), "tile_start", "seq").distinct()
+    met = skew_join(rows, tiles_, "tile", share=0.004, dim_rows=2)
+    same = F.substring(F.upper("ref_allele"), 1, 1) == F.upper(F.substring("seq", F.col("pos") - F.col("tile_start"), F.lit(1)))
+    return met.groupBy("contig", F.floor(F.col("pos") / 5000).alias("tile_no")).agg(F.count(F.lit(1)).alias("records"), F.count_if(same).alias("agreeing"))
+
+
 VALID_TARGETS = """valid as (select distinct panel_id, contig, coord_first, coord_second from targets
   where contig is not null and coord_first is not null and coord_second is not null and coord_first <= coord_second)"""
 

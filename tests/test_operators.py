@@ -1,3 +1,4 @@
+import datetime
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ from siftbase.operators.carry import neighbours, running, with_bin
 from siftbase.operators.coverage import coverage_at, coverage_runs
 from siftbase.operators.intervals import merge_intervals, previous_gap
 from siftbase.operators.joins import overlap_join, point_in_interval, with_known, with_targets
-from siftbase.operators.skew import heavy_keys, skew_join
+from siftbase.operators.skew import heavy_keys, skew_join, skew_totals
 
 
 def brute_merge(rows):
@@ -43,10 +44,33 @@ def test_merge_equals_sets_of_positions(spark, width):
 
 
 def test_previous_gap(spark):
-    df = spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "k string, pos int")
+    df = spark.createDataFrame([("a", 5), ("a", 9), ("b", 1), ("c", None), (None, 40), (None, 60)], "k string, pos int")
+    got = {(r["k"], r["pos"]): (r["gap_first"], r["gap_second"]) for r in previous_gap(df, ["k"], "pos", width=16).collect()}
+    assert got["c", None] == (None, None) and got[None, 60] == (41, 59)
+    df = df.where("k in ('a', 'b')")
     assert sorted((r["k"], r["pos"], r["gap_first"], r["gap_second"]) for r in previous_gap(df, ["k"], "pos").collect()) == [("a", 5, None, 4), ("a", 9, 6, 8), ("b", 1, None, 0)]
 
 
+def test_bounds_keep_their_type(spark):
+    at = lambda x: datetime.datetime(2024, 1, 1, 0, 0, x // 100, x % 100 * 10_000)
+    rows = [("a", 25, 75), ("a", 80, 90), ("a", 40, 60), ("b", 80, 90), ("b", 91, 95)]
+    micro = datetime.timedelta(microseconds=1)
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([(k, at(s), at(e)) for k, s, e in rows], f"k string, s {kind}, e {kind}")
+        got = merge_intervals(df, ["k"], "s", "e")
+        assert got.schema["s"].dataType.simpleString() == kind
+        assert sorted(map(tuple, got.where("k = 'a'").collect())) == [("a", "gap", at(75) + micro, at(80) - micro), ("a", "merged", at(25), at(75)), ("a", "merged", at(80), at(90))]
+    df = spark.createDataFrame([("a", 0.5, 0.6), ("a", 0.8, 0.9), ("a", 0.9, 1.5), ("a", float("nan"), 2.0), ("a", 7.0, float("inf")), ("a", float("-inf"), -3.0), ("b", 2.0, 1.0)], "k string, s double, e double")
+    assert sorted(tuple(r)[1:] for r in merge_intervals(df, ["k"], "s", "e").collect() if r["kind"] == "merged") == [("merged", float("-inf"), -3.0), ("merged", 0.5, 0.6), ("merged", 0.8, 1.5), ("merged", 7.0, float("inf"))]
+    assert ("a", "gap", 0.6, 0.8) in map(tuple, merge_intervals(df, ["k"], "s", "e").collect())
+    df = df.where("s between 0 and 1").select("k", F.col("s").cast("decimal(9,3)").alias("s"), F.col("e").cast("decimal(9,3)").alias("e"))
+    assert sorted((str(r["s"]), str(r["e"])) for r in merge_intervals(df, ["k"], "s", "e").where("kind = 'merged'").collect()) == [("0.500", "0.600"), ("0.800", "1.500")]
+    days = spark.createDataFrame([(datetime.date(2024, 1, 1), datetime.date(2024, 1, 3)), (datetime.date(2024, 1, 4), datetime.date(2024, 1, 5)), (datetime.date(2024, 1, 9), datetime.date(2024, 1, 9))], "s date, e date")
+    assert sorted((r["kind"], r["s"].day, r["e"].day) for r in merge_intervals(days, [], "s", "e").collect()) == [("gap", 6, 8), ("merged", 1, 5), ("merged", 9, 9)]
+    big = spark.range(20_000).select(F.lit("a").alias("k"), (F.col("id") * 10**12).alias("s"), (F.col("id") * 10**12 + 5).alias("e"))
+    assert merge_intervals(big, ["k"], "s", "e").groupBy("kind").count().collect() and merge_intervals(big, ["k"], "s", "e").count() == 39_999
+
+
 def test_running_over_bins(spark):
     rng = random.Random(1)
     rows = [("a", p, rng.randrange(100) if rng.random() > 0.2 else None) for p in rng.sample(range(300), 100)] + [(None, 4, 7), (None, 250, None)]
@@ -73,7 +97,11 @@ def test_heavy_keys_and_join(spark):
         assert got == Counter((c, o, d.get(c)) for c, o in rows if how == "left" or c in d)
     clash = df.withColumns({"_heavy_key": F.lit(1), "ord_dim": F.lit("x")})
     assert skew_join(clash, dims, "contig", 0.04, "left").columns == ["contig", "ord", "_heavy_key", "ord_dim", "ord_dim_"]
-    assert skew_join(df, dims, "contig", 0.04, "left", dim_rows=0).count() == 1000
+    for how in ("inner", "left"):  # a dimension too large to be sent: heavy keys are salted
+        got = Counter((r["contig"], r["ord"], r["ord_dim"]) for r in skew_join(df, dims, "contig", 0.04, how, dim_rows=0, salted_rows=100).collect())
+        assert got == Counter((c, o, d.get(c)) for c, o in rows if how == "left" or c in d)
+    totals, n = skew_totals(df, "contig", 0.04, [F.count(F.lit(1)).alias("n"), F.max("ord").alias("top")], ["ord"])
+    assert n == 1000 and {r["contig"]: (r["n"], r["top"]) for r in totals.collect()} == {k: (sum(c == k for c, _ in rows), max((o for c, o in rows if c == k and o is not None), default=None)) for k in {c for c, _ in rows}}
     empty, n = heavy_keys(df.limit(0), "contig", 0.5)
     assert n == 0 and empty.count() == 0 and skew_join(df.limit(0), dims, "contig").count() == 0
     with pytest.raises(ValueError):
