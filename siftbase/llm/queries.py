@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftbase.llm.bpe import encode_corpus
@@ -168,9 +168,11 @@ n as (select contig, pos, pos - row_number() over (partition by contig order by
 s as (select contig, min(pos) as f, max(pos) as l from n group by contig, isl having count(*) >= 10)
 select target_id, cast(coalesce(f, -1) as int) as cut_first from t left join s on s.contig = t.contig and f >= a and l <= z""")
 def p3_found(spark, sf):
-    """The stretches of N inside each target that is too long, -1 where there is none."""
-    cut = F.explode(F.when(F.size("boundaries") > 0, F.col("boundaries.first")).otherwise(F.array(F.lit(-1).cast("long"))))
-    return _split(spark, sf).select("target_id", cut.alias("cut_first")).select("target_id", F.col("cut_first").cast("int").alias("cut_first"))
+    """The stretches of N inside each target that is too long, from the pieces they fell into; -1 where there is none."""
+    rows = _split(spark, sf)
+    pieces = rows.select("target_id", "boundaries", F.explode("pieces").alias("_p")).select("target_id", F.explode("_p.stretches").alias("cut_first"))
+    none = rows.where(~F.exists("pieces", lambda p: F.size(p["stretches"]) > 0)).select("target_id", F.lit(-1).cast("long").alias("cut_first"))
+    return pieces.unionByName(none).select("target_id", F.col("cut_first").cast("int").alias("cut_first"))
 
 
 @query()
@@ -183,6 +185,26 @@ def p3_pieces(spark, sf):
     )
 
 
+@query("""
+select target_id, contig, coord_first as covered_first, coord_second as covered_second, coord_second - coord_first + 1 as n_bases, true as in_limit, true as shared_right, true as at_boundary
+from (select distinct target_id, contig, coord_first, coord_second, panel_id from targets where contig is not null and coord_first <= coord_second) join panels using (panel_id)
+where coord_second - coord_first + 1 > max_len""")
+def p3_checks(spark, sf):
+    """What holds of the pieces of each target: the bases they cover, each once but for the shared ones, their limit, what neighbours share, and that no cut lies before its stretch."""
+    limits = table(spark, sf, "targets").join(table(spark, sf, "panels"), "panel_id").select("target_id", "max_len", "overlap_len").distinct()
+    rows = p3_pieces(spark, sf).join(limits, "target_id")
+    w = Window.partitionBy("target_id", "contig").orderBy("piece_no")
+    before = F.lag("piece_second").over(w)
+    shared = F.least(F.coalesce("overlap_len", F.lit(0)), F.col("max_len") - 1)
+    rows = rows.withColumn("_shared", before - F.col("piece_first") + 1).withColumn("_length", F.col("piece_second") - F.col("piece_first") + 1)
+    cut = F.col("piece_first") + F.floor(shared / 2)
+    ok = (F.col("cut_first") < 0) | (F.col("cut_first") <= cut)
+    return rows.groupBy("target_id", "contig").agg(
+        F.min("piece_first").alias("covered_first"), F.max("piece_second").alias("covered_second"), F.sum(F.col("_length") - F.coalesce("_shared", F.lit(0))).alias("n_bases"),
+        F.bool_and(F.col("_length").between(1, F.col("max_len"))).alias("in_limit"), F.bool_and(F.col("_shared").isNull() | (F.col("_shared") == shared)).alias("shared_right"), F.bool_and(ok).alias("at_boundary"),
+    )
+
+
 @query()
 def p8_found(spark, sf):
     """Documents with at least one stretch that was decoded with a wrong encoding."""

@@ -2,8 +2,8 @@
 
 Balanced targets: the least number of pieces gives equal-length targets; each
 target snaps to the strongest boundary inside half a target's length; where a
-piece then breaks the limit, one piece is added and the targets are placed anew.
-At twice the least number every snap keeps the limit, so this ends.
+piece then breaks the limit, pieces are added there: it is laid out anew like an
+item of its own, between cuts that stay.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftbase.operators.intervals import merge_intervals
+from siftbase.operators.intervals import BIN_WIDTH, merge_intervals
 
-PIECE = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("cut_first", pa.int64())])
-PIECE_SQL = "array<struct<first:bigint,second:bigint,cut_first:bigint>>"
+PIECE = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("cut_first", pa.int64()), ("stretches", pa.list_(pa.int64()))])
+PIECE_SQL = "array<struct<first:bigint,second:bigint,cut_first:bigint,stretches:array<bigint>>>"
 
 
 def letter_stretches(refseq: DataFrame, least: int = 10, letter: str = "N") -> DataFrame:
@@ -45,38 +45,62 @@ def letter_stretches(refseq: DataFrame, least: int = 10, letter: str = "N") -> D
 
     tiles = refseq.where("contig is not null and tile_start is not null").select("contig", "tile_start", "seq")
     runs = tiles.mapInArrow(scan, "contig string, first bigint, last bigint")
-    merged = merge_intervals(runs, ["contig"], "first", "last").where("kind = 'merged'").drop("kind")
+    merged = merge_intervals(runs, ["contig"], "first", "last", bin_width=BIN_WIDTH).where("kind = 'merged'").drop("kind")
     return merged.where(F.col("last") - F.col("first") + 1 >= least)
 
 
+def _snap(first: int, length: int, n: int, overlap: int, middle: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of pieces 2..n, the boundary each snapped to or -1): equal targets, each snapped to the strongest boundary within half a target, the nearest of equals."""
+    target = (length - overlap) / n
+    ideal = first + np.arange(1, n) * target
+    starts, chosen = first + np.arange(1, n) * (length - overlap) // n, np.full(n - 1, -1)
+    slot = np.floor((middle - first) / target + 0.5).astype(np.int64)  # the windows of half a target don't overlap
+    at = np.flatnonzero((slot >= 1) & (slot < n))
+    if len(at):
+        order = at[np.lexsort((middle[at], np.abs(middle[at] - ideal[slot[at] - 1]), -strength[at], slot[at]))]
+        best = order[np.append(True, slot[order][1:] != slot[order][:-1])]
+        starts[slot[best] - 1], chosen[slot[best] - 1] = middle[best], best
+    return starts, chosen
+
+
 def balanced_pieces(first: int, second: int, limit: int, overlap: int, a: np.ndarray, z: np.ndarray) -> list[tuple[int, int, int]]:
-    """Pieces (first, second, boundary's first or -1) of one item; a, z: its boundaries, sorted."""
-    length = second - first + 1
-    if length <= limit:
+    """Pieces (first, second, boundary's first or -1) of one item; a, z: its boundaries, sorted.
+
+    Where snapping made a piece too long, this piece alone is laid out anew with
+    the pieces that it needs; every other cut stays. Each layout cuts inside a
+    piece that is too long, so that the work is linear in pieces and boundaries
+    times the few layouts that lie in one another.
+    """
+    if second - first + 1 <= limit:
         return [(first, second, -1)]
-    least = -(-(length - overlap) // (limit - overlap))
     middle = (a + z + 1) // 2 - overlap // 2
-    inside = (middle > first) & (middle + overlap <= second)
-    middle, strength, origin = middle[inside], (z - a + 1)[inside], a[inside]
-    for n in range(least, 2 * least + 3) if len(middle) else ():
-        target = (length - overlap) / n
-        starts, cuts = [first], [-1]
-        for k in range(1, n):
-            ideal = first + k * target
-            s, e = np.searchsorted(middle, ideal - target / 2, "left"), np.searchsorted(middle, ideal + target / 2, "left")
-            s = max(s, np.searchsorted(middle, starts[-1], "right"))
-            if s < e:
-                i = s + np.lexsort((np.abs(middle[s:e] - ideal), -strength[s:e]))[0]
-                starts.append(int(middle[i]))
-                cuts.append(int(origin[i]))
-            else:
-                starts.append(int(ideal))
-                cuts.append(-1)
-        ends = [x + overlap - 1 for x in starts[1:]] + [second]
-        if all(0 < e - s + 1 <= limit for s, e in zip(starts, ends)) and all(x < y for x, y in zip(starts, starts[1:])):
-            return list(zip(starts, ends, cuts))
-    starts = [first + k * (length - overlap) // least for k in range(least)]
-    return list(zip(starts, [x + overlap - 1 for x in starts[1:]] + [second], [-1] * least))
+    keep = (middle > first) & (middle + overlap <= second)
+    order = np.argsort(middle[keep], kind="stable")
+    middle, strength, origin = middle[keep][order], (z - a + 1)[keep][order], a[keep][order]
+    done: list[tuple[int, int, int]] = []
+    todo = [(first, second, -1)]
+    while todo:
+        s, e, cut = todo.pop()
+        length = e - s + 1
+        if length <= limit:
+            done.append((s, e, cut))
+            continue
+        n = -(-(length - overlap) // (limit - overlap))
+        lo, hi = np.searchsorted(middle, s, "right"), np.searchsorted(middle, e - overlap, "right")
+        starts, chosen = _snap(s, length, n, overlap, middle[lo:hi], strength[lo:hi])
+        begins = [s, *starts.tolist()]
+        ends = [x + overlap - 1 for x in begins[1:]] + [e]
+        cuts = [cut, *(int(origin[lo + i]) if i >= 0 else -1 for i in chosen.tolist())]
+        todo += reversed(list(zip(begins, ends, cuts)))
+    return done
+
+
+def _owned(pieces: list[tuple[int, int, int]], a: np.ndarray) -> list[dict]:
+    """The pieces with the boundaries that begin in each, before the next piece does."""
+    starts = np.array([p[0] for p in pieces])
+    at = np.searchsorted(starts, a, "right") - 1
+    edge = np.searchsorted(at, np.arange(len(pieces) + 1))
+    return [{"first": f, "second": s, "cut_first": c, "stretches": a[edge[i] : edge[i + 1]].tolist()} for i, (f, s, c) in enumerate(pieces)]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +109,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, bounds in enumerate(b.column(5).to_pylist()):
             pairs = np.array([(x["first"], x["last"]) for x in bounds], np.int64).reshape(-1, 2)
-            if limit[i] is None or limit[i] < 1:
-                pieces = [(first[i], second[i], -1)]
-            else:
-                shared = min(max(overlap[i] or 0, 0), limit[i] - 1)
-                pieces = balanced_pieces(first[i], second[i], limit[i], shared, pairs[:, 0], pairs[:, 1])
-            out.append([dict(zip(("first", "second", "cut_first"), p, strict=True)) for p in pieces])
+            shared = min(max(overlap[i] or 0, 0), limit[i] - 1)
+            out.append(_owned(balanced_pieces(first[i], second[i], limit[i], shared, pairs[:, 0], pairs[:, 1]), pairs[:, 0]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(out, pa.list_(PIECE))], names=["item", "boundaries", "pieces"])
 
 
@@ -107,6 +127,11 @@ def split_items(
 ) -> DataFrame:
     """One row per item longer than its limit: ``id_col``, ``boundaries`` (first, last) that lie wholly in it, ``pieces``.
 
+    A piece has ``first``, ``second``, ``cut_first`` (the first position of the
+    boundary at which it begins, or -1) and ``stretches``, the first positions of
+    the boundaries that begin in it; each boundary belongs to one piece. An
+    item's row holds its boundaries, one for each ten positions at most.
+
     Pieces cover the item in order, have at most ``limit`` positions, and
     consecutive ones share ``overlap`` positions, the boundary in the middle of
     what they share. Items meet boundaries of their ``key`` by bins of

@@ -47,3 +47,26 @@ def test_empty_and_outliers(spark):
     med = multi_select(summarise(df, "g", "x", "day"), "g", [0.5])
     assert above_median(df.withColumns({"_median": F.lit(1), "_mg": F.lit(2), "n": F.lit(3)}), med, "g", "x", 10.0).columns == ["g", "day", "x", "_median", "_mg", "n"]
     assert [r["x"] for r in above_median(df, med, "g", "x", 10.0).collect()] == [21]
+
+
+def test_infinities(spark):
+    inf = float("inf")
+    xs = {"a": [-inf] * 6 + [1.0, 2.0], "b": [inf, inf, -inf, 3.0], "c": [1.7976931348623157e308, inf, inf, -inf], "d": [inf]}
+    df = spark.createDataFrame([(g, i % 2, x) for g, v in xs.items() for i, x in enumerate(v)], "g string, day int, x double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for error in (None, 0.01):
+        got = {(r["g"], r["quantile"]): r["value"] for r in multi_select(summarise(df.where("x <> 1.7976931348623157e308") if error else df, "g", "x", "day", error), "g", qs).collect()}
+        if not error:
+            assert got == {(g, q): nearest_rank(v, q) for g, v in xs.items() for q in qs}
+        assert got["a", 0.5] == -inf and got["d", 0.5] == inf
+
+
+def test_a_part_too_large_for_a_task(spark):
+    df = spark.range(6_000).select(F.lit("hot").alias("g"), F.lit(1).alias("day"), ((F.col("id") * 7919) % 6_000).cast("double").alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        s = summarise(df, "g", "x", "day").cache()
+        got = {r["quantile"]: r["value"] for r in multi_select(s, "g", [0.1, 0.5, 0.999]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert got == {0.1: 599.0, 0.5: 2999.0, 0.999: 5993.0}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,13 @@ def test_snaps_to_the_strongest():
     assert pieces == [(0, 1074, -1), (975, 1999, 1000)]
     # a snap that breaks the limit adds a piece
     assert [p[2] for p in balanced_pieces(0, 1999, 1010, 0, np.array([700]), np.array([720]))] == [-1, 700, -1]
+    # only there: all other snaps stay
+    rng = random.Random(7)
+    a = np.array(sorted(rng.sample(range(0, 999_000, 25), 4000)), np.int64)
+    began = time.time()
+    pieces = balanced_pieces(0, 999_999, 1000, 0, a, a + 15)
+    assert time.time() - began < 2 and 1000 <= len(pieces) < 1700 and sum(p[2] < 0 for p in pieces) < 150
+    check(pieces, 0, 999_999, 1000, 0)
 
 
 def test_stretches_cross_tiles(spark):
@@ -48,5 +56,6 @@ def test_table(spark):
     assert set(got) == {1, None, 6}
     assert [b["first"] for b in got[1]["boundaries"]] == [20] and got[None]["boundaries"] == [] and got[6]["boundaries"] == []
     for k, o in ((1, 5), (None, 0), (6, 39)):
-        check([tuple(p) for p in got[k]["pieces"]], 30 if k == 6 else 0, 99, 40, o)
+        check([tuple(p)[:3] for p in got[k]["pieces"]], 30 if k == 6 else 0, 99, 40, o)
+    assert sorted(f for p in got[1]["pieces"] for f in p["stretches"]) == [20]
     assert split_items(spark.createDataFrame([], schema), bounds, *args).count() == 0
