@@ -1,28 +1,38 @@
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from siftbase.llm import mixture
 from siftbase.llm.bpe import VOCABULARY, encoder
-from siftbase.llm.mixture import mix_sources, split_blocks, split_ranges
+from siftbase.llm.mixture import mix_sources
 
 
-def test_splitting_tree_is_exact():
-    out = split_blocks([100, 0, 7, 33], 9, 1)
-    assert out.sum(axis=0).tolist() == [100, 0, 7, 33] and (out >= 0).all()
-    assert np.ptp(out.sum(axis=1)) <= 2
-    assert split_blocks([], 3, 1).shape == (3, 0)
-
-
-def test_ranges_of_a_source_are_disjoint_and_whole():
-    blocks = [0, 1, 5000, 0, 3, 77]
+@pytest.mark.parametrize("shards, levels", [(9, 8), (41, 2), (1, 8), (700, 3)])
+def test_splitting_tree_is_exact(spark, monkeypatch, shards, levels):
+    monkeypatch.setattr(mixture, "LEVELS", levels)
+    blocks = {"a": 1000, "b": 7, "c": 1, "d": 5000, "e": 0}
+    counts = spark.createDataFrame([*blocks.items()], "source string, n_blocks long").repartition(2)
+    rows = mixture.shard_ranges(counts, shards, 5).collect()
     taken = {}
-    for source, _, a, z in split_ranges(blocks, 41, 5):
-        taken.setdefault(source, []).append((a, z))
-    for k, n in enumerate(blocks):
+    for r in rows:
+        taken.setdefault(r["source"], []).append((r["start"], r["start"] + r["have"]))
+    for k, n in blocks.items():  # ranges of a source are disjoint and whole
         ranges = sorted(taken.get(k, []))
         assert [a for a, _ in ranges] == [0, *[z for _, z in ranges][:-1]] if n else not ranges
         assert not n or ranges[-1][1] == n
+    held = Counter()
+    for r in rows:
+        held[r["shard"]] += r["have"]
+    assert len(held) == shards and max(held.values()) - min(held.values()) <= 1 + math.log2(shards)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixture.shard_ranges(counts.repartition(3), shards, 5).collect()))
+
+
+def test_draws_are_hypergeometric():
+    left = [next(p for f, n, s, p, b in mixture.split_node(0, 2, np.array([30, 10]), np.zeros(2, np.int64), 1, seed) if f == 0) for seed in range(3000)]
+    ones = np.array([x[0] for x in left])
+    assert abs(ones.mean() - 15) < 0.2 and abs(ones.var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.25
 
 
 @pytest.fixture
@@ -61,6 +71,15 @@ def test_shares_repeats_and_blocks(spark, corpus):
     assert sorted((r["shard"], r["position"]) for r in rows) == [(s, p) for s in sorted(shards) for p in range(shards[s])]
 
 
+def test_a_plan_too_large_to_be_sent(spark, corpus, monkeypatch):
+    docs, _ = corpus
+    plan = spark.createDataFrame([("big", 5.0, 1), ("mid", 3.0, 4), ("small", 2.0, 3)], "source string, weight double, max_repeats int")
+    want = sorted(map(tuple, mix_sources(docs, plan, block_tokens=40, shard_tokens=700).shares.collect()))
+    monkeypatch.setattr(mixture, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixture, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, mix_sources(docs, plan, block_tokens=40, shard_tokens=700).shares.collect())) == want
+
+
 def test_empty(spark, corpus):
     docs, _ = corpus
     plan = spark.createDataFrame([("big", 1.0, 1)], "source string, weight double, max_repeats int")
