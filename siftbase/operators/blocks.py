@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siftbase.config import CallerOptions
 from siftbase.operators.carry import neighbours, packed, running
 from siftbase.operators.segments import Tolerance, split_at_bins, tolerant_segments
+from siftbase.session import cut
 
 WIDTH = 1 << 14
 NAMES = ("dp", "rr", "vr")
@@ -50,7 +51,7 @@ def nonvariant_blocks(
     r = neighbours(clean, ["_key"], "_pos", ["_to", "_called"], WIDTH).drop("_bin")
     joined = F.coalesce(F.col("_prev._to") == F.col("_pos") - 1, F.lit(False))
     ends = F.coalesce(F.col("_next._pos") != F.col("_to") + 1, F.lit(True))
-    r = r.select("_key", "_pos", "_to", "_called", "_v.*", (~joined | F.col("_prev._called")).alias("_anew"), ends.alias("_ends"))
+    r = cut(r.select("_key", "_pos", "_to", "_called", "_v.*", (~joined | F.col("_prev._called")).alias("_anew"), ends.alias("_ends")))  # needed four times
     free = r.where(~F.col("_called"))
     # A region's last base is in no statistics and breaks nothing.
     body = free.withColumn("_to", F.col("_to") - F.col("_ends").cast("int")).where("_to >= _pos")
@@ -63,7 +64,7 @@ def nonvariant_blocks(
     label = running(placed, ["_key"], [F.col("_pos")], F.col("_spos"), "_label", "max")
     n = F.col("_to") - F.col("_pos") + 1
     stats = [x for c in values for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.sum(F.col(c) * n).alias(f"_{c}_sum"), F.sum(F.col(c) * F.col(c) * n).alias(f"_{c}_sq"))]
-    b = label.groupBy("_key", "_label").agg(F.max("_to").alias("_end"), F.sum(n).alias("n_stats"), F.min_by(F.struct(*NAMES), F.col("_pos")).alias("_first"), *stats)
+    b = cut(label.groupBy("_key", "_label").agg(F.max("_to").alias("_end"), F.sum(n).alias("n_stats"), F.min_by(F.struct(*NAMES), F.col("_pos")).alias("_first"), *stats))
     # What lies behind a block says why it ends: a call, the region's last base, or the block that values went out of it for.
     what = lambda df, at, name, v: df.select(F.col("_key").alias("_nkey"), at.alias("_at"), F.lit(name).alias("_what"), v.alias("_nv"))
     none = F.lit(None).cast(b.schema["_first"].dataType)

@@ -74,12 +74,22 @@ def snp_rows(sites: DataFrame, o: CallerOptions, keep: tuple[str, ...] = (*KEYS,
     )
 
 
-def call_snps(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = None) -> DataFrame:
-    """SNP calls per sample from distinct reads; ``pos`` is 1-based."""
+def snp_sites(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the majority allele of each site, coverage intervals) from distinct reads; positions are 0-based."""
     o = o or CallerOptions()
     events, intervals = snp_walk(reads, refseq, o)
     site = [*KEYS, "pos", "ref"]
-    best = cut(majority(allele_counts(events, site), site, "posterior" if o.scavenge else "quality"))  # sites are few beside reads
+    return cut(majority(allele_counts(events, site), site, "posterior" if o.scavenge else "quality")), intervals  # sites are few beside reads
+
+
+def call_snps(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = None) -> DataFrame:
+    """SNP calls per sample from distinct reads; ``pos`` is 1-based."""
+    return score_snps(*snp_sites(reads, refseq, o), o)
+
+
+def score_snps(best: DataFrame, intervals: DataFrame, o: CallerOptions | None = None) -> DataFrame:
+    """Called rows from snp_sites."""
+    o = o or CallerOptions()
     cover = coverage_at(intervals, best, KEYS, ["rr", "dp"], cap=o.coverage_cap).withColumnsRenamed({"rr": "cov_rr", "dp": "cov_dp"})
     calls = snp_rows(best.join(cover, [*KEYS, "pos"]), o)
     return calls.withColumn("pos", F.col("pos") + 1)
@@ -117,16 +127,26 @@ def with_entropy(sites: DataFrame, refseq: DataFrame) -> DataFrame:
     return sites.join(windows, key, "left").withColumn("entropy", S.local_entropy(F.coalesce("_window", F.lit("")), F.col("len"))).drop("_window")
 
 
+def indel_sites(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = None, all_indels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the indel with most reads of each start, or every one; coverage intervals) from distinct reads."""
+    events, intervals = indel_walk(reads, refseq, o)
+    alleles = merge_indels(events)
+    w = Window.partitionBy(*KEYS, "var_start")
+    sites = alleles.withColumn("all_reads", F.sum("n").over(w).cast("int")) if all_indels else top_indels(alleles)
+    return cut(sites), intervals  # sites are few beside reads, and are needed five times
+
+
 def call_indels(reads: DataFrame, refseq: DataFrame, o: CallerOptions | None = None, all_indels: bool = False) -> DataFrame:
     """Indel calls per sample from distinct reads; ``pos`` is the 1-based anchor.
 
     ``all_indels`` keeps every indel of a start instead of the one with most reads.
     """
+    return score_indels(*indel_sites(reads, refseq, o, all_indels), refseq, o)
+
+
+def score_indels(sites: DataFrame, intervals: DataFrame, refseq: DataFrame, o: CallerOptions | None = None) -> DataFrame:
+    """Called rows from indel_sites."""
     o = o or CallerOptions()
-    events, intervals = indel_walk(reads, refseq, o)
-    alleles = cut(merge_indels(events))  # sites are few beside reads, and are needed five times
-    w = Window.partitionBy(*KEYS, "var_start")
-    sites = alleles.withColumn("all_reads", F.sum("n").over(w).cast("int")) if all_indels else top_indels(alleles)
     sites = cut(with_entropy(sites, refseq)).withColumn("cov_pos", F.when(F.col("del"), F.col("var_start")).otherwise(F.col("var_start") - 1))
     cover = coverage_at(intervals, sites.select(*KEYS, "cov_pos"), KEYS, ["rr", "rr_ins", "dp"], "cov_pos", o.coverage_cap)
     rows = sites.join(cover, [*KEYS, "cov_pos"])

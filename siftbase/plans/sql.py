@@ -107,28 +107,63 @@ P_INDEL = f"""case when dp = 0 then 1 else 1 / (1 + exp(-({M.indel_intercept}E0
 P_WGS = f"""case when dp = 0 then 1 else 1 / (1 + exp(-({M.wgs_intercept}E0 + {M.wgs_entropy}E0 * entropy + {M.wgs_strand}E0 * {STRAND} + {M.wgs_nbq}E0 * {NBQ} + {M.wgs_mapq}E0 * mean_mapq
   + {M.wgs_var_rate}E0 * mean_var_rate + {M.wgs_norm_var_sq}E0 * (n * n / dp)))) end"""
 
-_Z = ", ".join(["cast(0 as bigint)"] * 10)
+
+def _zeros(n: int) -> str:
+    return ", ".join(["cast(0 as bigint)"] * n)
+
+
 _FITS = "greatest({h}, h.{c}) - least({l}, h.{c}) > greatest(0.3E0 * least({l}, h.{c}), 3)"
-BLOCKS = f"""with recursive v0 as (select sample_id, contig, pos, max({{'v': [dp, rr, vr], 'c': alt_allele <> '.'}}) as x from (select distinct rec_id, sample_id, contig, pos, dp, rr, vr, alt_allele
-    from var_records where contig is not null and pos is not null and dp is not null and rr is not null and vr is not null) group by 1, 2, 3),
+RECORD_BASES = """v0 as (select sample_id, contig, pos, max({'v': [dp, rr, vr], 'c': alt_allele <> '.'}) as x from (select distinct rec_id, sample_id, contig, pos, dp, rr, vr, alt_allele
+    from var_records where contig is not null and pos is not null and dp is not null and rr is not null and vr is not null) group by 1, 2, 3)"""
+_TAIL = f"""
 w as (select sample_id, contig, pos, x.v[1] as dp, x.v[2] as rr, x.v[3] as vr, x.c as called, case when lag(pos) over s = pos - 1 then 0 else 1 end as st, coalesce(lead(pos) over s <> pos + 1, true) as last
   from v0 window s as (partition by sample_id, contig order by pos)),
 g as (select *, sum(st) over (partition by sample_id, contig order by pos rows unbounded preceding) as reg from w),
 h as (select *, row_number() over (partition by sample_id, contig, reg order by pos) as i from g),
-r(sample_id, contig, reg, i, a, k, d0, d1, r0, r1, v0, v1, ds, dq, ea, ez, why, ek, ed0, ed1, er0, er1, ev0, ev1, eds, edq) as (
-  select sample_id, contig, reg, cast(0 as bigint), {_Z}, cast(null as int), cast(null as int), cast(null as varchar), {_Z[: -len(", cast(0 as bigint)")]} from h where i = 1
+r(sample_id, contig, reg, i, a, k, d0, d1, r0, r1, v0, v1, ds, dq, rs, rq, vs, vq, ea, ez, why, ek, ed0, ed1, er0, er1, ev0, ev1, eds, edq, ers, erq, evs, evq) as (
+  select sample_id, contig, reg, cast(0 as bigint), {_zeros(14)}, cast(null as int), cast(null as int), cast(null as varchar), {_zeros(13)} from h where i = 1
   union all
   select h.sample_id, h.contig, h.reg, h.i, case when anew then h.pos else a end, case when off then 0 when anew then 1 else k + 1 end,
     case when anew then h.dp else least(d0, h.dp) end, case when anew then h.dp else greatest(d1, h.dp) end, case when anew then h.rr else least(r0, h.rr) end, case when anew then h.rr else greatest(r1, h.rr) end,
     case when anew then h.vr else least(v0, h.vr) end, case when anew then h.vr else greatest(v1, h.vr) end, case when anew then h.dp else ds + h.dp end, case when anew then h.dp * h.dp else dq + h.dp * h.dp end,
-    case when k = 0 then h.pos else a end, case when x.why = 'endofregion' then h.pos else h.pos - 1 end, x.why, k, d0, d1, r0, r1, v0, v1, ds, dq
+    case when anew then h.rr else rs + h.rr end, case when anew then h.rr * h.rr else rq + h.rr * h.rr end, case when anew then h.vr else vs + h.vr end, case when anew then h.vr * h.vr else vq + h.vr * h.vr end,
+    case when k = 0 then h.pos else a end, case when x.why = 'endofregion' then h.pos else h.pos - 1 end, x.why, k, d0, d1, r0, r1, v0, v1, ds, dq, rs, rq, vs, vq
   from r join h on h.sample_id = r.sample_id and h.contig = r.contig and h.reg = r.reg and h.i = r.i + 1,
   lateral (select h.called or h.last as off, case when h.called then case when k > 0 then 'blocked' end when h.last then 'endofregion' when k = 0 then null
     when h.dp = 0 and d0 > 0 then 'cov2nocov' when d1 = 0 and h.dp > 0 then 'nocov2cov'
     when {_FITS.format(h="d1", l="d0", c="dp")} then 'dp' when {_FITS.format(h="r1", l="r0", c="rr")} then 'rr' when {_FITS.format(h="v1", l="v0", c="vr")} then 'vr' end as why) x,
-  lateral (select not x.off and (k = 0 or x.why is not null) as anew) y)
-select sample_id, contig, cast(ea as int) as block_first, cast(ez as int) as block_last, why as reason, ek as n_stats,
+  lateral (select not x.off and (k = 0 or x.why is not null) as anew) y),
+bl as (select sample_id, contig, cast(ea as int) as block_first, cast(ez as int) as block_last, why as reason, cast(ek as bigint) as n_stats,
   case when ek > 0 then ed0 else 0 end as dp_min, case when ek > 0 then ed1 else 0 end as dp_max, case when ek > 0 then round(eds / ek, 6) else 0 end as dp_mean,
-  case when ek > 1 then round(sqrt(greatest((edq - eds * eds / ek) / (ek - 1), 0)), 6) else 0 end as dp_sd,
+  case when ek > 1 then round(sqrt(greatest((edq - eds * eds / ek) / (ek - 1), 0)), 6) else 0 end as dp_sd, eds, edq, ers, erq, evs, evq,
   case when ek > 0 then er0 else 0 end as rr_min, case when ek > 0 then er1 else 0 end as rr_max, case when ek > 0 then ev0 else 0 end as vr_min, case when ek > 0 then ev1 else 0 end as vr_max
-from r where why is not null"""
+from r where why is not null)
+"""
+_OUT = "sample_id, contig, block_first, block_last, reason, n_stats, dp_min, dp_max, dp_mean, dp_sd, rr_min, rr_max, vr_min, vr_max"
+
+
+def blocks(bases: str, select: str = f"select {_OUT} from bl") -> str:
+    """Blocks ``bl`` over ``v0`` of the common table expressions ``bases``, position by position, and what is selected of them."""
+    return f"with recursive {bases},{_TAIL}{select}"
+
+
+def _four(c: str, total: str, squares: str) -> str:
+    mean, sd = f"case when n_stats > 0 then {total} / n_stats else 0 end", f"case when n_stats > 1 then sqrt(greatest(({squares} - {total} * {total} / n_stats) / (n_stats - 1), 0)) else 0 end"
+    return f"concat_ws(',', {c}_min, {c}_max, format('{{:.5g}}', cast({mean} as double)), format('{{:.5g}}', cast({sd} as double)))"
+
+
+BLOCK_LINES = blocks(
+    RECORD_BASES + ", genome as (select contig, string_agg(upper(seq), '' order by tile_start) as g from (select distinct * from refseq) group by contig)",
+    f"""select coalesce(c.ord, 2147483647) as ord, cast(block_first as bigint) as pos, concat_ws(chr(9), bl.contig, block_first, '.', substr(g, block_first, 1), '.', '.', 'PASS',
+  concat('END=', block_last, ';BLOCKAVG_min30p3a;PX=0,0,0,0;VRX=', {_four("vr", "evs", "evq")}, ';RRX=', {_four("rr", "ers", "erq")}, ';DPX=', {_four("dp", "eds", "edq")}, ';breakblock=', reason),
+  'GT:VR:RR:DP:GQ', concat('0/0:', vr_min, ':', rr_min, ':', dp_min, ':.')) as line from bl join genome on genome.contig = bl.contig left join contigs c on c.contig = bl.contig""",
+)
+BLOCKS = blocks(RECORD_BASES)
+INDEL_BASES = f"""{{indel_ctes}},
+pb as (select sample_id, contig, a + i as pos, rr, dp from (select *, unnest(range(0, cast(z - a + 1 as bigint))) as i from spans)),
+pc as (select sample_id, contig, pos, sum(rr) as rr, sum(dp) as dp from pb group by all),
+pv as (select sample_id, contig, var_start + i as pos, sum(n) as vr from (select *, unnest(range(0, len)) as i from top where del) group by all),
+ca as (select distinct sample_id, contig, pos - 1 as pos from ({{calls}})),
+v0 as (select pc.sample_id, pc.contig, cast(pc.pos as int) as pos, {{{{'v': [cast(pc.dp as bigint), cast(pc.rr as bigint), cast(coalesce(pv.vr, 0) as bigint)], 'c': ca.pos is not null}}}} as x
+  from pc left join pv on pv.sample_id = pc.sample_id and pv.contig = pc.contig and pv.pos = pc.pos left join ca on ca.sample_id = pc.sample_id and ca.contig = pc.contig and ca.pos = pc.pos)"""
+INDEL_BLOCKS = blocks(INDEL_BASES.format(indel_ctes=INDEL_READS, calls=indel_calls(P_INDEL)))

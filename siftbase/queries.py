@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from siftbase.config import CallerOptions
 from siftbase.functions import scalars as S
 from siftbase.operators.blocks import nonvariant_blocks
-from siftbase.operators.calls import allele_counts, call_indels, call_snps, majority, merge_indels, snp_rows, top_indels, with_entropy
+from siftbase.operators.calls import allele_counts, call_indels, call_snps, indel_sites, majority, merge_indels, score_indels, snp_rows, top_indels, with_entropy
 from siftbase.operators.coverage import coverage_at, coverage_runs
 from siftbase.operators.intervals import merge_intervals, previous_gap
 from siftbase.operators.joins import overlap_join, point_in_interval, with_known, with_targets
 from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types, op_sum, reference_pieces, snp_walk, tiles, usable
 from siftbase.operators.skew import heavy_keys, skew_join, skew_totals
 from siftbase.plans import sql as Q
+from siftbase.plans.caller import covered_regions, indel_surface
 from siftbase.plans.evidence import evidence, read_spans
 from siftbase.session import distinct_rows, scratch, table
 from siftbase.sinks.vcf import block_record, indel_record, snp_record, vcf_lines
@@ -337,6 +338,16 @@ def gvcf_blocks(spark, sf):
     return b.select("sample_id", "contig", "block_first", "block_last", "reason", "n_stats", "dp_min", "dp_max", F.round("dp_mean", 6).alias("dp_mean"), F.round("dp_sd", 6).alias("dp_sd"), "rr_min", "rr_max", "vr_min", "vr_max")
 
 
+@query(Q.INDEL_BLOCKS)
+def indel_gvcf(spark, sf):
+    """W1 in the indel stream: blocks between indel calls over what each sample's reads cover."""
+    reads, ref, o = _reads(spark, sf), table(spark, sf, "refseq"), CallerOptions()
+    sites, intervals = indel_sites(reads, ref, o)
+    surface = indel_surface(sites, intervals, score_indels(sites, intervals, ref, o), covered_regions(intervals), o)
+    b = nonvariant_blocks(surface, ["sample_id", "contig"], "first", last="last")
+    return b.select("sample_id", "contig", "block_first", "block_last", "reason", "n_stats", "dp_min", "dp_max", F.round("dp_mean", 6).alias("dp_mean"), F.round("dp_sd", 6).alias("dp_sd"), "rr_min", "rr_max", "vr_min", "vr_max")
+
+
 @query("""with c as (select distinct sample_id, contig, pos from var_records where contig is not null and pos is not null and alt_allele <> '.'),
 g as (select *, lag(pos) over (partition by sample_id, contig order by pos) + 1 as gap_first, pos - 1 as gap_second from c) select sample_id, contig, pos, gap_first, gap_second from g""")
 def call_gaps(spark, sf):
@@ -416,7 +427,7 @@ def vcf_union(spark, sf):
     return both.select(F.concat_ws("\t", *[f[i] for i in range(7)], f[9]).alias("line"))
 
 
-@query()
+@query(Q.BLOCK_LINES)
 def gvcf_lines(spark, sf):
     """SNK7: the blocks of all samples as VCF lines with their reference base."""
     rows = _records(spark, sf).withColumn("called", F.col("alt_allele") != ".")

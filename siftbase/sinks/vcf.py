@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from siftbase.config import CallerOptions
 from siftbase.functions.scalars import significant
+from siftbase.session import cut
 
 
 def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def header(sample: str, contigs: list[tuple[str, int]], kind: str = "snp", o: CallerOptions | None = None, date: str = "", reference: str = "", command: str = "") -> str:
+def header(sample: str, contigs: list[tuple[str, int]], kind: str = "snp", o: CallerOptions | None = None, date: str = "", reference: str = "", command: str = "", known: bool = False) -> str:
     """SNK2: the header lines of a ``kind`` ('snp' or 'indel') file; date and command are given, so that output is repeatable."""
     o = o or CallerOptions()
     number = lambda x: f"{x:g}"
@@ -36,6 +37,8 @@ def header(sample: str, contigs: list[tuple[str, int]], kind: str = "snp", o: Ca
     out.append(f'##INFO=<ID=P,Number=1,Type=Float,Description="Posterior of the {kind}">')
     if snp:
         out.append('##INFO=<ID=equal_majority,Number=0,Type=Flag,Description="Another base has as many reads">')
+    if known:
+        out.append('##INFO=<ID=AF,Number=1,Type=Float,Description="Frequency of the known indel">')
     if o.gvcf:
         out += [f'##INFO=<ID={c}X,Number=4,Type=Float,Description="Minimum, maximum, mean and standard deviation of {c} in the block">' for c in ("P", "DP", "RR", "VR")]
         out += ['##INFO=<ID=breakblock,Number=1,Type=String,Description="What ended the block">', f'##INFO=<ID=BLOCKAVG_{o.block_label},Number=0,Type=Flag,Description="Tolerance of the blocks">', '##INFO=<ID=END,Number=1,Type=Integer,Description="Last position of the block">']
@@ -54,50 +57,74 @@ def snp_record() -> Column:
     return _record(F.col("pos"), F.col("ref"), F.col("alt"), _text("qual"), F.col("filters"), info, F.col("gt"), F.col("vr"), F.col("rr"), F.col("dp"))
 
 
-def indel_record() -> Column:
-    """SNK6: line of a row of call_indels."""
+def indel_record(known: bool = False) -> Column:
+    """SNK6: line of a row of call_indels; ``known`` adds the frequency ``af`` of a known indel."""
     info = F.concat(F.lit("P="), significant(F.col("p"), 5))
+    if known:
+        info = F.concat(info, F.when(F.col("af").isNotNull(), F.concat(F.lit(";AF="), significant(F.col("af"), 5))).otherwise(""))
     return _record(F.col("pos"), F.col("ref"), F.col("alt"), _text("qual"), F.col("filters"), info, F.col("gt"), F.col("vr"), F.col("rr"), F.col("dp"))
 
 
-def block_record(o: CallerOptions | None = None, one_based: bool = True) -> Column:
-    """SNK7: line of a row of nonvariant_blocks that has ``ref``, the base at the block's start."""
+def novar_record() -> Column:
+    """SNK8: line of a row of no_variant_rows; the quality is the site's probability."""
+    return _record(F.col("pos"), F.col("ref"), F.lit("."), significant(F.col("p"), 5), F.col("filters"), F.lit("."), F.lit("."), F.col("vr"), F.col("rr"), F.col("dp"))
+
+
+def block_record(o: CallerOptions | None = None, one_based: bool = True, with_p: bool = False) -> Column:
+    """SNK7: line of a row of nonvariant_blocks that has ``ref``, the base at the block's start.
+
+    PX is 0 inside regions, as a probability is kept only where a site lies off target; ``with_p`` takes the statistics of ``p``.
+    """
     o = o or CallerOptions()
     shift = 0 if one_based else 1
     four = lambda c: F.concat_ws(",", *[significant(F.col(f"{c}_{x}").cast("double"), 5) for x in ("min", "max", "mean", "sd")])
     info = F.concat(
-        F.lit("END="), _text(F.col("block_last") + shift), F.lit(f";BLOCKAVG_{o.block_label};PX=0,0,0,0;VRX="), four("vr"), F.lit(";RRX="), four("rr"), F.lit(";DPX="), four("dp"), F.lit(";breakblock="), "reason"
+        F.lit("END="), _text(F.col("block_last") + shift), F.lit(f";BLOCKAVG_{o.block_label};PX="), four("p") if with_p else F.lit("0,0,0,0"), F.lit(";VRX="), four("vr"), F.lit(";RRX="), four("rr"), F.lit(";DPX="), four("dp"), F.lit(";breakblock="), "reason"
     )
     return _record(F.col("block_first") + shift, F.col("ref"), F.lit("."), F.lit("."), F.lit("PASS"), info, F.lit("0/0"), F.col("vr_min"), F.col("rr_min"), F.col("dp_min"))
 
 
-def vcf_lines(calls: DataFrame, record: Column, contigs: DataFrame, pos: str = "pos") -> DataFrame:
-    """``ord``, ``pos``, ``line``: records with the place of their contig in the header; contigs missing there come last."""
+def vcf_lines(calls: DataFrame, record: Column, contigs: DataFrame, pos: str = "pos", shift: int = 0) -> DataFrame:
+    """``ord``, ``pos``, ``line``: records with the place of their contig in the header; contigs missing there come last. ``shift`` makes ``pos`` 1-based."""
     rows = calls.withColumn("line", record).join(contigs.select("contig", "ord"), "contig", "left")
-    return rows.select(F.coalesce("ord", F.lit(2**31 - 1)).alias("ord"), F.col(pos).cast("long").alias("pos"), "line")
+    return rows.select(F.coalesce("ord", F.lit(2**31 - 1)).alias("ord"), (F.col(pos) + shift).cast("long").alias("pos"), "line")
 
 
-def write_vcf(lines: DataFrame, head: str, path: str) -> None:
+def write_vcf(lines: DataFrame, head: str, path: str) -> int:
     """SNK3, O2, O3: header and records in header order; the part files in the order of their names are the file.
 
     Records are range-partitioned and sorted where they fall; no task gets all.
+    Returns how many records were written.
     """
     spark = lines.sparkSession
+    lines = cut(lines)
     top = spark.createDataFrame([(-1, i, x) for i, x in enumerate(head.rstrip("\n").split("\n"))], "ord int, pos long, line string")
     rows = top.unionByName(lines.select(F.col("ord").cast("int").alias("ord"), "pos", "line"))
     rows.orderBy("ord", "pos", "line").select("line").write.mode("overwrite").text(path)
+    return lines.count()
+
 
+def write_by_contig(calls: DataFrame, path: str, force: bool = False, rows_a_file: int = 5_000_000) -> list[str]:
+    """SNK1, SNK11: one folder per contig; contigs written before are skipped unless ``force``. Returns what was skipped.
 
-def write_by_contig(calls: DataFrame, path: str, force: bool = False) -> list[str]:
-    """SNK1, SNK11: one folder per contig; contigs written before are skipped unless ``force``. Returns what was skipped."""
+    A contig counts as written once its mark is there, which is made after the
+    write has been committed; what a failed write left is written over. Rows are
+    range-partitioned by contig and position, so a large contig is many tasks
+    and files of at most ``rows_a_file`` rows.
+    """
     spark = calls.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
     done = []
-    if not force and fs.exists(fs_path):
-        done = [s.getPath().getName().removeprefix("contig=") for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("contig=")]
+    if not force and fs.exists(to(f"{path}/_done")):
+        done = [s.getPath().getName().removeprefix("contig=") for s in fs.listStatus(to(f"{path}/_done"))]
     todo = calls.where(~F.col("contig").isin(done)) if done else calls
-    todo.repartition("contig").write.mode("append" if not force else "overwrite").partitionBy("contig").parquet(path)
+    todo = cut(todo)
+    names = [r["contig"] for r in todo.select("contig").distinct().collect()]  # as many as a header has lines
+    rows = todo.repartitionByRange("contig", *[c for c in ("pos",) if c in calls.columns]).write.option("maxRecordsPerFile", rows_a_file)
+    rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("contig").parquet(path)
+    for name in names:
+        fs.create(to(f"{path}/_done/contig={name}"), True).close()
     return sorted(done)
 
 

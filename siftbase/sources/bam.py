@@ -114,6 +114,16 @@ def references(s: Bytes) -> list[tuple[str, int]]:
     return out
 
 
+def bam_contigs(path: str) -> list[tuple[str, int, int]]:
+    """SRC4: name, length and place in the header of every contig of a BAM file."""
+    first = sorted(p for part in path.split(",") for p in glob.glob(part))[0]
+    return [(name, length, i) for i, (name, length) in enumerate(references(Bytes(inflate(first))))]
+
+
+#: Two letters for each byte of packed bases.
+PAIRS = [a + b for a in BASES for b in BASES]
+
+
 def nm_tag(tags: bytes) -> int | None:
     i = 0
     while i < len(tags):
@@ -138,7 +148,7 @@ def record(raw: bytes, names: list[str]) -> tuple:
     cigar = [{"op": OPS[x & 15], "len": x >> 4} for x in struct.unpack(f"<{n_cigar}I", raw[at : at + 4 * n_cigar])]
     at += 4 * n_cigar
     packed = raw[at : at + (n_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
+    seq = "".join(map(PAIRS.__getitem__, packed))[:n_seq]
     at += (n_seq + 1) // 2
     qual = list(raw[at : at + n_seq])
     if qual and qual[0] == 255:

@@ -83,3 +83,28 @@ def test_empty_and_nulls(spark):
     assert nonvariant_blocks(spark.createDataFrame([], SCHEMA), ["sample_id"]).count() == 0
     df = spark.createDataFrame([(None, 1, 5, 5, 0, None), (None, 2, 5, 5, 0, None), (1, None, 5, 5, 0, False), (1, 3, None, 5, 0, False), (1, 9, 7, 7, 0, False)], SCHEMA)
     assert rounded(nonvariant_blocks(df, ["sample_id"]).select("sample_id", "block_first", "block_last", "reason", "n_stats").collect()) == [(1, 2, "endofregion", 1), (9, 9, "endofregion", 0)]
+
+
+def test_long_stretches_of_equal_depth(spark):
+    """Thirty million positions as one stretch, and some hundred thousand as rows: one block each."""
+    df = spark.createDataFrame([(1, 0, 29_999_999, 0, 0, 0, False), (1, 30_000_000, 30_000_009, 50, 50, 0, False), (1, 30_000_010, 30_000_010, 9, 9, 9, True)], "sample_id long, first int, last int, dp int, rr int, vr int, called boolean")
+    got = nonvariant_blocks(df, ["sample_id"], "first", last="last").collect()
+    assert sorted((r["block_first"], r["block_last"], r["reason"], r["n_stats"]) for r in got) == [(0, 29_999_999, "nocov2cov", 30_000_000), (30_000_000, 30_000_009, "blocked", 10)]
+    rows = spark.range(300_000).selectExpr("1L as sample_id", "cast(id as int) as pos", "0 as dp", "0 as rr", "0 as vr", "false as called")
+    assert [tuple(r)[1:5] for r in nonvariant_blocks(rows, ["sample_id"]).collect()] == [(0, 299_999, "endofregion", 299_999)]
+
+
+def test_stretches_equal_positions(spark, monkeypatch):
+    monkeypatch.setattr("siftbase.operators.blocks.WIDTH", 16)
+    rng = random.Random(9)
+    stretches, at = [], 0
+    for _ in range(150):
+        at += rng.choice([0, 0, 0, 0, 3])
+        n = rng.randrange(1, 25)
+        dp = rng.choice([0, 5, 7, 9, 10, 12, 40])
+        stretches.append((1, at, at + n - 1, dp, dp, 0, rng.random() / 2 if rng.random() < 0.5 else None, n == 1 and rng.random() < 0.5))
+        at += n
+    df = spark.createDataFrame(stretches, "sample_id long, first int, last int, dp int, rr int, vr int, p double, called boolean").repartition(3)
+    bases = df.selectExpr("sample_id", "explode(sequence(first, last)) as pos", "dp", "rr", "vr", "p", "called")
+    got = [sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in b.collect()) for b in (nonvariant_blocks(df, ["sample_id"], "first", last="last", p="p"), nonvariant_blocks(bases, ["sample_id"], p="p"))]
+    assert got[0] == got[1] and len(got[0]) > 30
