@@ -70,11 +70,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     return running_many(df, keys, order, [(value, out, how, inclusive)], bin_col)
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], width: int) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], width: int, tie: str | None = None) -> DataFrame:
     """Add ``_prev`` and ``_next``, the rows before and after (as structs of ``order`` and ``columns``) along the whole key.
 
     Windows cover (key, bin); the rows beyond a bin's ends come from one summary
-    row per bin. ``order`` is unique in a key.
+    row per bin. ``order`` is unique in a key, or with ``tie``, the first of the columns.
     """
     rows = with_bin(df, order, width).withColumn("_row", F.struct(order, *[c for c in columns if c != order]))
     per_bin = rows.groupBy(*keys, "_bin").agg(F.min("_row").alias("_head"), F.max("_row").alias("_tail"))
@@ -83,7 +83,7 @@ def neighbours(df: DataFrame, keys: list[str], order: str, columns: list[str], w
         *[F.col(k).alias(f"_e_{i}") for i, k in enumerate([*keys, "_bin"])],
         F.lag("_tail").over(along).alias("_before"), F.lead("_head").over(along).alias("_after"),
     )
-    here = Window.partitionBy(*keys, "_bin").orderBy(order)
+    here = Window.partitionBy(*keys, "_bin").orderBy(order, *([tie] if tie else []))
     out = rows.join(ends, _equal(rows, ends, [*keys, "_bin"], "_e_"), "left")
     out = out.withColumn("_prev", F.coalesce(F.lag("_row").over(here), "_before")).withColumn("_next", F.coalesce(F.lead("_row").over(here), "_after"))
     return out.drop("_row", "_before", "_after", *[f"_e_{i}" for i in range(len(keys) + 1)])

@@ -22,7 +22,7 @@ from siftbase.plans.evidence import evidence, read_spans
 from siftbase.session import distinct_rows, scratch, table
 from siftbase.sinks.vcf import block_record, indel_record, snp_record, vcf_lines
 from siftbase.sources.text import known_indels, parse_bed
-from siftbase.streaming.caller import FLUSH, stream_alleles
+from siftbase.streaming.caller import FLUSH, final_alleles, open_sites, stream_alleles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -368,7 +368,7 @@ def novar_sites(spark, sf):
 
 
 @query("""with t as (select distinct target_id, contig, coord_first, coord_second from targets where contig is not null and coord_first <= coord_second),
-r as (select distinct sample_id, contig, qname, flag, pos, length(seq) as n from aligned_reads where pos >= 0)
+r as (select distinct sample_id, contig, qname, flag, pos, greatest(1, coalesce(list_sum([x.len for x in cigar if x.op in ('M','D','N','=','X')]), 0)) as n from aligned_reads where pos >= 0)
 select target_id, contig, count(*) as reads from t join r using (contig) where pos <= coord_second and pos + n - 1 >= coord_first group by 1, 2""")
 def target_overlap(spark, sf):
     """J4, SRC2: reads that overlap each target with the span of their CIGAR; a read without one has its first base only."""
@@ -436,26 +436,24 @@ def gvcf_lines(spark, sf):
     return vcf_lines(based, block_record(), table(spark, sf, "contigs"), "block_first")
 
 
-@query("""with e as (select event_type as contig, cast(floor(epoch(ts) / 3600) as bigint) as pos, substr('ACGT', cast(event_id % 4 as int) + 1, 1) as allele, cast(floor(value) as bigint) % 41 as qual, event_id % 3 <> 0 as nqs, (event_id % 100) / 100.0E0 as rel_pos, event_id % 2 = 0 as fwd from events),
-m as (select *, max(pos) over (partition by contig) as top from e)
+@query("""with e as (select event_type as contig, cast(floor(epoch(ts) / 3600) as bigint) as pos, substr('ACGT', cast(event_id % 4 as int) + 1, 1) as allele, cast(floor(value) as bigint) % 41 as qual, event_id % 3 <> 0 as nqs, (event_id % 100) / 100.0E0 as rel_pos, event_id % 2 = 0 as fwd from events)
 select contig, pos, allele, count(*) as n, cast(sum(qual) as bigint) as qsum, count(*) filter (where fwd) as fwd,
- round(1 - exp(sum(ln(1 - 1 / (1 + exp(-(-9.088E0 + 0.162E0 * qual + 1.645E0 * cast(nqs as int) + 2.349E0 * rel_pos)))))), 6) as p_any from m where pos < top group by 1, 2, 3""")
+ round(1 - exp(sum(ln(1 - 1 / (1 + exp(-(-9.088E0 + 0.162E0 * qual + 1.645E0 * cast(nqs as int) + 2.349E0 * rel_pos)))))), 6) as p_any from e group by 1, 2, 3""")
 def stream_caller(spark, sf):
-    """ST1 to ST5: the events table as a stream, hours as positions; at its end each key is flushed by a last micro-batch."""
-    schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    """ST1 to ST5: the events table as a stream of several micro-batches, hours as positions; the last one flushes every key."""
+    events, out = table(spark, sf, "events"), scratch(spark)
     pos = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    rows = raw.select(
+    rows = events.select(
         F.col("event_type").alias("contig"), pos.alias("read_start"), pos.alias("pos"), F.substring(F.lit("ACGT"), (F.col("event_id") % 4 + 1).cast("int"), F.lit(1)).alias("allele"),
         (F.floor("value") % 41).alias("qual"), (F.col("event_id") % 3 != 0).alias("nqs"), ((F.col("event_id") % 100) / 100.0).alias("rel_pos"), (F.col("event_id") % 2 == 0).alias("fwd"),
     )
-    out = scratch(spark)
-    ends = table(spark, sf, "events").select(F.col("event_type").alias("contig")).distinct()
-    ends = ends.select("contig", *[F.lit(FLUSH).cast("long").alias(c) if c in ("read_start", "pos") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "contig"])
-    ends.limit(0).write.parquet(f"{out}/flush")
-    both = rows.unionByName(spark.readStream.schema(ends.schema).parquet(f"{out}/flush"))
-    for last in (False, True):  # the same stream goes on once the flush is there
-        if last:
-            ends.coalesce(1).write.mode("append").parquet(f"{out}/flush")
-        (stream_alleles(both).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{out}/rows").withColumn("p_any", F.round("p_any", 6))
+    ends = rows.select("contig").distinct().select("contig", *[F.lit(FLUSH).cast(rows.schema[c].dataType).alias(c) if c in ("read_start", "pos") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "contig"])
+    cuts = [int(x) for x in rows.approxQuantile("read_start", [0.3, 0.6], 0.05)]
+    edges = [None, *sorted(set(cuts)), None]
+    parts = [rows.where((F.lit(True) if a is None else F.col("read_start") >= a) & (F.lit(True) if z is None else F.col("read_start") < z)) for a, z in zip(edges, edges[1:])]
+    for part in [*parts, ends]:  # the same stream goes on with what has come
+        part.write.mode("append").parquet(f"{out}/in")
+        stream_alleles(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), out).awaitTermination()
+    if not open_sites(spark, out).isEmpty():
+        raise ValueError("sites are open after the flush")
+    return final_alleles(spark, out).withColumn("p_any", F.round("p_any", 6))

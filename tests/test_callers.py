@@ -12,7 +12,7 @@ from siftbase.operators.reads import distinct_reads, indel_walk, mismatch_types,
 from siftbase.sinks.vcf import block_record, header, indel_record, snp_record, vcf_lines, verify_text, write_by_contig, write_vcf
 from siftbase.sources.bam import BamSource
 from siftbase.sources.text import read_bed, read_fasta, read_known_indels, read_sam, read_sam_contigs, parse_bed
-from siftbase.streaming.caller import FLUSH, stream_alleles
+from siftbase.streaming.caller import FLUSH, final_alleles, open_sites, stream_alleles
 
 R = "ACGTTGCAAC" * 30
 READ = "qname string, sample_id long, flag int, contig string, pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, nm int, loaded_at timestamp"
@@ -239,18 +239,21 @@ def test_bam_is_split_without_loss(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     schema = "contig string, read_start long, pos long, allele string, qual int, nqs boolean, rel_pos double, fwd boolean"
     rows = [("a" if i % 3 else "b", i // 4, i // 4 + i % 7, "ACG"[i % 3], 20 + i % 20, i % 2 == 0, (i % 10) / 10, i % 5 == 0) for i in range(200)]
-    for k in range(5):
-        spark.createDataFrame(rows[k * 40 : k * 40 + 40], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    spark.createDataFrame([(c, FLUSH, FLUSH, "A", 0, False, 0.0, False) for c in "ab"], schema).coalesce(1).write.parquet(str(tmp_path / "in/9"))
-
-    def run(out):
-        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-        stream_alleles(src).writeStream.format("parquet").option("path", str(tmp_path / out)).option("checkpointLocation", str(tmp_path / f"{out}-state")).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(str(tmp_path / out))
-
-    got = sorted((r["contig"], r["pos"], r["allele"], r["n"], r["qsum"], r["fwd"], round(r["p_any"], 9)) for r in run("out").collect())
+    parts = [*(rows[k * 50 : k * 50 + 50] for k in range(4)), [(c, FLUSH, FLUSH, "A", 0, False, 0.0, False) for c in "ab"]]
+    folder = str(tmp_path / "out")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_alleles(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), folder).awaitTermination()
+        left = {(r["contig"], r["pos"]) for r in open_sites(spark, folder).collect()}
+        seen = [r for p in parts[: k + 1] for r in p if r[1] < FLUSH]
+        mark = {c: max((r[1] for p in parts[: k + 1] for r in p if r[0] == c)) for c in "ab"}
+        assert left == {(r[0], r[2]) for r in seen if r[2] >= mark[r[0]]}
+    got = sorted((r["contig"], r["pos"], r["allele"], r["n"], r["qsum"], r["fwd"], round(r["p_any"], 9)) for r in final_alleles(spark, folder).collect())
     batch = allele_counts(spark.createDataFrame(rows, schema), ["contig", "pos"]).collect()
     assert got == sorted((r["contig"], r["pos"], r["allele"], r["n"], r["qsum"], r["fwd"], round(r["p_any"], 9)) for r in batch)
+    spark.createDataFrame(rows[:1], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="finalized"):
+        stream_alleles(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), folder).awaitTermination()
 
 
 def test_command_line(spark, tmp_path):
