@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftbase.operators.segments import changed
 from siftbase.session import cut, fresh
 
 #: Values in one row of a summary; a (group, part) with more takes several rows.
@@ -74,13 +75,11 @@ def combine(*summaries: DataFrame) -> DataFrame:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from siftbase.llm.runs import _changed
-
     for b in batches:  # a (group, part) that goes on in the next batch simply takes another row
         if not b.num_rows:
             continue
         new = np.ones(b.num_rows, bool)
-        new[1:] = _changed(b.column(0)) | _changed(b.column(1))
+        new[1:] = changed(b.column(0)) | changed(b.column(1))
         at = np.flatnonzero(new)
         since = np.arange(b.num_rows) - np.repeat(at, np.diff(np.append(at, b.num_rows)))
         at = np.flatnonzero(new | (since % ROW_VALUES == 0))

@@ -70,6 +70,13 @@ def p1_runs(spark, sf):
     return _runs(spark, sf)
 
 
+@query()
+def p1_segments(spark, sf):
+    """The runs that cost least when squared deviations inside a run count beside its boundary."""
+    rows = table(spark, sf, "var_records").where("contig is not null and alt_allele = '.'")
+    return collapse_runs(rows, ["sample_id", "contig"], "pos", ["dp", "rr", "vr"], "rec_id", zero_splits="dp", penalty=4.0, weight=0.5)
+
+
 def _depths(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "var_records").where("contig is not null and dp is not null")
     return distinct_rows(rows.withColumn("day", F.to_date("called_at")), "rec_id", "contig", "dp", "day")

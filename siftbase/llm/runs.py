@@ -1,25 +1,27 @@
 """Problem 1: runs of near-identical consecutive events become one event each.
 
-The segmentation is the optimum of a dynamic program. A run costs its
-within-run dissimilarity, which is 0 while every value stays inside the
-tolerance and infinite beyond it, plus a boundary penalty:
-
-    best(i) = min over j in (i, reach(i)] of  penalty + best(j)
-
-where ``reach(i)`` is the first event that can't be in a run that begins at
-``i``. Of several optimal segmentations the one whose earlier runs are longest
-is taken. Two prunings make this linear. The tolerance is hereditary (each part
-of a run inside the tolerance is inside it), so a start whose dissimilarity has
-become infinite is dropped for good: candidates end at ``reach(i)``. By the same
-property ``best`` never rises along the events, so every candidate before
-``reach(i)`` is dominated by it. What is left is one candidate per event, and
-the optimum is the chain first, reach(first), reach(reach(first)), ...
-
-An entity isn't one task: its events are cut into bins of positions. A bin
-solves its own program, and says for each way in which a run of the bin before
-can end inside it (``steps``) where that run would end and where the bin's own
-chain is met again. A pass over these summaries in order of the bins, one row
-per bin and constant memory, tells each bin which step is the true one.
+The segmentation is the optimum of a dynamic program. A run costs a boundary
+penalty and its within-run dissimilarity: ``weight`` times the sum of squared
+deviations of its values from their means, and infinity where a value leaves the
+tolerance:
+
+    best(i) = min over candidates j in (i, reach(i)] of  penalty + weight * deviations(i..j-1) + best(j)
+
+``reach(i)`` is the first event that can't be in a run that begins at ``i``. Two
+prunings drop a candidate for good. The tolerance is hereditary (each part of a
+run inside it is inside it), so that a candidate beyond ``reach(i)`` is beyond
+it for every earlier start. And deviations are never less than those of two
+parts, so that a candidate whose ``weight * deviations + best(j)`` is above
+``best(i)`` can't be better than a boundary at ``i`` for any earlier start. Of
+several optima the one whose earlier runs are longest is taken.
+
+At weight 0 a run inside the tolerance is free but for its boundary. Then
+``best`` never rises along the events, the last candidate of an event is its best,
+and the optimum is the chain first, reach(first), ..., which is found in bins of
+positions with the open run handed on (``segments.py``). With a weight, events
+are parted where a run must end whatever lies around: at a position that is
+missing, and between two neighbours that alone leave the tolerance. The parts
+are independent programs, so an entity spreads over its parts.
 """
 
 from __future__ import annotations
@@ -28,249 +30,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from siftbase.session import cut
-
-#: Rows that the kernel takes at once.
-CHUNK = 1 << 16
-
-
-class Tolerance:
-    """Values are near-identical while ``highest - lowest <= max(absolute, relative * lowest)``.
-
-    ``relative`` is a fraction (numerator, denominator), so that whole numbers are compared exactly.
-    """
 
-    def __init__(self, absolute: int = 3, relative: tuple[int, int] = (3, 10)):
-        self.absolute, (self.num, self.den) = absolute, relative
+from siftbase.operators.carry import neighbours, packed, running
+from siftbase.operators.segments import Tolerance, chain, changed, reaches, tolerant_segments, whole_groups
 
-    def holds(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Over the last axis, the values of one event."""
-        return (self.den * (hi - lo) <= np.maximum(self.den * self.absolute, self.num * lo)).all(axis=-1)
+#: Costs count as equal within this share of them.
+EQUAL = 1e-9
 
 
-def reaches(v: np.ndarray, forced: np.ndarray, tol: Tolerance) -> np.ndarray:
-    """For each event the first later event that can't be in its run; ``forced`` marks events that must begin one."""
+def optimum(v: np.ndarray, forced: np.ndarray, tol: Tolerance, penalty: float = 1.0, weight: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(events that begin a run, as a mask; best cost from each event to the end of its part). ``forced`` marks events that begin a part."""
     n = len(v)
-    limit = np.full(n, n)
-    at = np.flatnonzero(forced)
-    at = at[at > 0]
-    if len(at):
-        k = np.searchsorted(at, np.arange(n), side="right")
-        limit = np.where(k < len(at), at[np.minimum(k, len(at) - 1)], n)
-    lows, highs = [v], [v]
-    while True:  # tables of runs of 1, 2, 4, ... events, as far as any is inside the tolerance
-        half = 1 << (len(lows) - 1)
-        if n <= 2 * half - 1:
-            break
-        lo = np.minimum(lows[-1][: n - 2 * half + 1], lows[-1][half : n - half + 1])
-        hi = np.maximum(highs[-1][: n - 2 * half + 1], highs[-1][half : n - half + 1])
-        if not (tol.holds(lo, hi) & (np.arange(len(lo)) + 2 * half <= limit[: len(lo)])).any():
-            break
-        lows.append(lo)
-        highs.append(hi)
-    end = np.arange(n) + 1
-    lo, hi = v.copy(), v.copy()
-    for k in range(len(lows) - 1, -1, -1):
-        rows = np.flatnonzero(end + (1 << k) <= limit)
-        if not len(rows):
-            continue
-        to = end[rows]
-        new_lo, new_hi = np.minimum(lo[rows], lows[k][to]), np.maximum(hi[rows], highs[k][to])
-        ok = tol.holds(new_lo, new_hi)
-        rows = rows[ok]
-        lo[rows], hi[rows] = new_lo[ok], new_hi[ok]
-        end[rows] += 1 << k
-    return end
-
-
-def optimum(reach: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Bellman's recursion after pruning: (events that begin a run in the optimum from event 0, as a mask; best cost from each event on).
-
-    ``best(i) = penalty + best(reach(i))``; both are taken along the chains in doubling steps, all events at once.
-    """
-    n = len(reach)
-    marks, best = np.zeros(n + 1, bool), np.append(np.full(n, penalty), 0.0)
-    marks[0] = True
-    jump = np.append(reach, n)
-    while True:
-        marks[jump[np.flatnonzero(marks)]] = True
-        if (jump == n).all():
-            return marks[:n], best[:n]
-        best += np.where(np.arange(n + 1) < n, best[jump], 0.0)
-        jump = jump[jump]
-
-
-def _changed(col: pa.Array) -> np.ndarray:
-    a, b = col.slice(1), col.slice(0, len(col) - 1)
-    differ = pc.fill_null(pc.not_equal(a, b), False)
-    nulls = pc.xor(a.is_null(), b.is_null())
-    return pc.or_(differ, nulls).to_numpy(zero_copy_only=False)
-
-
-def _steps(pos: np.ndarray, v: np.ndarray, reach: np.ndarray, marks: np.ndarray, s: int, e: int) -> list[dict]:
-    """The ways in which a run of the bin before can end in events s..e-1, in order."""
-    r = reach[s]
-    lo, hi = np.minimum.accumulate(v[s:r]), np.maximum.accumulate(v[s:r])
-    new = np.ones(r - s, bool)
-    new[1:] = (lo[1:] != lo[:-1]).any(axis=1) | (hi[1:] != hi[:-1]).any(axis=1)
-    out = []
-    for k in [*(s + np.flatnonzero(new)), *([r] if r < e else [])]:
-        p, own = int(k), []
-        while p < e and not marks[p]:
-            own.append((int(pos[p]), int(pos[reach[p] - 1]), p))
-            p = int(reach[p])
-        last = None
-        if p >= e and own:  # the chain from here doesn't meet the bin's own
-            q = own[-1][2]
-            last = {"start": own[-1][0], "lo": v[q:e].min(0).tolist(), "hi": v[q:e].max(0).tolist()}
-        forced = k == r
-        out.append({
-            "pos": int(pos[k]), "before": int(pos[k - 1]) if k > s else None, "forced": bool(forced),
-            "lo": None if forced else lo[k - s].tolist(), "hi": None if forced else hi[k - s].tolist(),
-            "meets": int(pos[p]) if p < e else None, "starts": [x[0] for x in own], "ends": [x[1] for x in own], "last": last,
-        })
-    return out
-
-
-LAST = pa.struct([("start", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
-STEP = pa.struct([
-    ("pos", pa.int64()), ("before", pa.int64()), ("forced", pa.bool_()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())),
-    ("meets", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("last", LAST),
-])
-RUN_SQL = "starts array<bigint>, ends array<bigint>"
-LAST_SQL = "struct<start:bigint,lo:array<double>,hi:array<double>>"
-BIN_SQL = (
-    f"left_open boolean, right_open boolean, last_pos bigint, {RUN_SQL}, last {LAST_SQL}, steps array<struct<pos:bigint,before:bigint,forced:boolean,"
-    f"lo:array<double>,hi:array<double>,meets:bigint,starts:array<bigint>,ends:array<bigint>,last:{LAST_SQL}>>"
-)
-
-
-def _solve(rows: pa.Table, keys: int, width: int, zero: int | None, tol: Tolerance) -> pa.RecordBatch:
-    """One row per bin from whole bins of events sorted by keys, bin, position and id."""
-    rows = rows.combine_chunks()
-    cols = [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in rows.columns]
-    n = rows.num_rows
-    start = np.ones(n, bool)
-    start[1:] = np.logical_or.reduce([_changed(c) for c in cols[: keys + 1]]) if n > 1 else []
-    pos = cols[keys + 1].to_numpy().astype(np.int64)
-    ids = cols[keys + 2]
-    twice = np.zeros(n, bool)
-    if n > 1:
-        equal = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-        twice[1:] = equal & ~start[1:] & (pos[1:] == pos[:-1])
-    keep = np.flatnonzero(~twice)
-    pos, start = pos[keep], start[keep]
-    v = np.stack([c.to_numpy(zero_copy_only=False)[keep] for c in cols[keys + 3 :]], axis=1)
-    v = v.astype(np.int64 if np.issubdtype(v.dtype, np.integer) else np.float64)
-    forced = start.copy()
-    forced[1:] |= pos[1:] != pos[:-1] + 1
-    if zero is not None:
-        forced[1:] |= (v[1:, zero] == 0) != (v[:-1, zero] == 0)
     reach = reaches(v, forced, tol)
-    marks, _ = optimum(reach)
-    s = np.flatnonzero(start)
-    e = np.append(s[1:], len(pos))
-    begin = np.flatnonzero(marks)
-    first_run = np.searchsorted(begin, s)
-    offsets = pa.array(np.append(first_run, len(begin)), pa.int32())
-    stop = np.append(begin[1:], len(pos)) - 1
-    bins = cols[keys].take(pa.array(keep[s]))
-    low = bins.to_numpy() * width
-    left = pos[s] == low
-    right = pos[e - 1] == low + width - 1
-    last, steps = [], []
-    for i in range(len(s)):
-        a, z = int(s[i]), int(e[i])
-        q = int(begin[first_run[i + 1] - 1 if i + 1 < len(s) else -1])
-        last.append({"start": int(pos[q]), "lo": v[q:z].min(0).tolist(), "hi": v[q:z].max(0).tolist()} if right[i] else None)
-        steps.append(_steps(pos, v, reach, marks, a, z) if left[i] else None)
-    take = pa.array(keep[s])
-    return pa.RecordBatch.from_arrays(
-        [
-            *[c.take(take) for c in cols[: keys + 1]],
-            pa.array(left),
-            pa.array(right),
-            pa.array(pos[e - 1]),
-            pa.ListArray.from_arrays(offsets, pa.array(pos[begin])),
-            pa.ListArray.from_arrays(offsets, pa.array(pos[stop])),
-            pa.array(last, LAST),
-            pa.array(steps, pa.list_(STEP)),
-        ],
-        names=[*rows.column_names[: keys + 1], "left_open", "right_open", "last_pos", "starts", "ends", "last", "steps"],
-    )
+    start = np.flatnonzero(np.append(True, forced[1:])) if n else np.zeros(0, np.int64)
+    end = np.append(start[1:], n)
+    part = np.repeat(np.arange(len(start)), end - start)
+    if not weight:  # of all candidates the last is the best, at every event
+        jump, best = np.append(np.where(reach == end[part], n, reach), n) if n else np.zeros(1, np.int64), np.append(np.full(n, float(penalty)), 0.0)
+        while (jump < n).any():
+            best, jump = best + best[jump], jump[jump]
+        return (chain(reach) if n else np.zeros(0, bool)), best[:n]
+    v = v.astype(np.float64) - v[start[part]]  # near 0, so that sums of squares keep their digits
+    one = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
+    two = np.append(0.0, np.cumsum((v * v).sum(axis=1)))
+    best, choice = np.zeros(n + len(start)), np.zeros(n, np.int64)  # each part has a place for its end, where the cost is 0
+    order = np.argsort(start - end, kind="stable")  # longest part first: those still going are the first ones
+    lengths = (end - start)[order]
+    cand = end[order][:, None]
+    for t in range(1, int(lengths.max(initial=0)) + 1):  # all parts at once, from their ends
+        k = int(np.searchsorted(-lengths, -t, side="right"))
+        p, cand = order[:k], cand[:k]
+        i = end[p] - t
+        there = (cand > i[:, None]) & (cand <= reach[i][:, None])
+        j = np.where(there, cand, i[:, None] + 1)
+        sums = one[j] - one[i][:, None]
+        dev = np.maximum(two[j] - two[i][:, None] - (sums * sums).sum(axis=2) / (j - i[:, None]), 0.0)
+        inner = np.where(there, weight * dev + best[j + p[:, None]], np.inf)
+        low = inner.min(axis=1)
+        near = inner <= (low + EQUAL * (1 + np.abs(low)))[:, None]
+        choice[i] = np.where(near, j, 0).max(axis=1)
+        best[i + p] = penalty + low
+        keep = there & (inner <= (penalty + low + EQUAL * (1 + np.abs(low)))[:, None])
+        width = int(keep.sum(axis=1).max(initial=0))
+        first = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+        kept = np.where(np.take_along_axis(keep, first, 1), np.take_along_axis(cand, first, 1), -1)
+        cand = np.concatenate([i[:, None], kept], axis=1)
+    return (chain(choice) if n else np.zeros(0, bool)), best[np.arange(n) + part]
+
+
+def _solver(keys: int, tol: Tolerance, zero: int | None, penalty: float, weight: float):
+    """Runs of whole parts sorted by keys, part, position and id. Columns: keys, part, position, id, values."""
 
-
-def _bin_solver(keys: int, width: int, zero: int | None, tol: Tolerance):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-            if sum(x.num_rows for x in held) < CHUNK:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            new = np.flatnonzero(np.logical_or.reduce([_changed(c.chunk(0)) for c in rows.columns[: keys + 1]]))
-            if not len(new):
-                held = rows.to_batches()
-                continue
-            at = int(new[-1]) + 1  # the last bin may go on
-            held = rows.slice(at).combine_chunks().to_batches()
-            yield _solve(rows.slice(0, at), keys, width, zero, tol)
-        if held:
-            yield _solve(pa.Table.from_batches(held), keys, width, zero, tol)
+        for t in whole_groups(keys + 1)(batches):
+            cols = [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in t.columns]
+            pos = cols[keys + 1].to_numpy().astype(np.int64)
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in cols[keys + 3 :]], axis=1)
+            forced = np.ones(len(pos), bool)
+            forced[1:] = np.logical_or.reduce([changed(c) for c in cols[: keys + 1]]) | (pos[1:] != pos[:-1] + 1)
+            if zero is not None:
+                forced[1:] |= (v[1:, zero] == 0) != (v[:-1, zero] == 0)
+            marks, _ = optimum(v, forced, tol, penalty, weight)
+            begin = np.flatnonzero(marks)
+            stop = np.append(begin[1:], len(pos))
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(pa.array(begin)) for c in cols[:keys]], pa.array(pos[begin]), pa.array(pos[stop - 1]), pa.array(stop - begin)], names=[*t.column_names[:keys], "seg_first", "seg_last", "n_records"]
+            )
 
     return solve
 
 
-def _true_steps(keys: int, zero: int | None, tol: Tolerance, schema: pa.Schema):
-    """Goes through the summaries by entity and bin with one open run as its state."""
-
-    def inside(x: dict, y: dict) -> bool:
-        lo, hi = np.minimum(x["lo"], y["lo"]), np.maximum(x["hi"], y["hi"])
-        return bool(tol.holds(lo, hi)) and (zero is None or (x["lo"][zero] == 0) == (y["lo"][zero] == 0))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entity, before, last_pos, run = (), None, None, None  # run: start, lo, hi; open at the end of the bin ``before``
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                now = tuple(row[f"_k{i}"] for i in range(keys))
-                if run and not (now == entity and row["_bin"] == before + 1 and row["left_open"]):
-                    out.append((*entity, before, None, [run["start"]], [last_pos]))
-                    run = None
-                starts, ends, meets, last = [], [], None, row["last"]
-                if run:
-                    step = next((x for x in row["steps"] if x["forced"] or not inside(run, x)), None)
-                    if step:
-                        starts = [run["start"], *step["starts"]]
-                        ends = [last_pos if step["before"] is None else step["before"], *step["ends"]]
-                        meets = step["meets"]
-                        if meets is None:  # no run of the bin's own chain stands
-                            meets, last = row["last_pos"] + 1, step["last"]
-                            if row["right_open"]:
-                                starts, ends = starts[:-1], ends[:-1]
-                    else:  # the whole bin goes into the run
-                        step, meets = row["steps"][-1], row["last_pos"] + 1
-                        last = {"start": run["start"], "lo": np.minimum(run["lo"], step["lo"]), "hi": np.maximum(run["hi"], step["hi"])}
-                        if not row["right_open"]:
-                            starts, ends = [run["start"]], [row["last_pos"]]
-                out.append((*now, row["_bin"], meets, starts, ends))
-                run = last if row["right_open"] else None
-                entity, before, last_pos = now, row["_bin"], row["last_pos"]
-            yield rows_of(out)
-        if run:
-            yield rows_of([(*entity, before, None, [run["start"]], [last_pos])])
-
-    def rows_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return walk
+def _weighted(events: DataFrame, keys: list[str], values: list[str], tol: Tolerance, zero: int | None, penalty: float, weight: float, bin_width: int) -> DataFrame:
+    rows = neighbours(events.dropDuplicates(["_key", "_pos", "_id"]), ["_key"], "_pos", ["_id", *values], bin_width, tie="_id")
+    ends = F.coalesce(F.col("_prev._pos") != F.col("_pos") - 1, F.lit(True))
+    for i, c in enumerate(values):
+        lo, hi = F.least(F.col(c), F.col(f"_prev.{c}")), F.greatest(F.col(c), F.col(f"_prev.{c}"))
+        ends = ends | (tol.den * (hi - lo) > F.greatest(F.lit(tol.den * tol.absolute), tol.num * lo))
+        if i == zero:
+            ends = ends | ((F.col(c) == 0) != (F.col(f"_prev.{c}") == 0))
+    rows = running(rows, ["_key"], [F.col("_pos"), F.col("_id")], ends.cast("int"), "_part", "sum")
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.select(*[F.col("_key")[k].alias(a) for k, a in zip(keys, names, strict=True)], "_part", "_pos", "_id", *values)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    by_part = rows.repartition(*names, "_part").sortWithinPartitions(*names, "_part", "_pos", "_id")
+    sql = ", ".join([*(f"{a} {types[a]}" for a in names), "seg_first bigint, seg_last bigint, n_records bigint"])
+    runs = by_part.mapInArrow(_solver(len(keys), tol, zero, penalty, weight), sql)
+    return runs.withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def collapse_runs(
@@ -282,13 +129,16 @@ def collapse_runs(
     tolerance: Tolerance | None = None,
     zero_splits: str | None = None,
     bin_width: int = 1 << 13,
+    penalty: float = 1.0,
+    weight: float = 0.0,
 ) -> DataFrame:
     """One row per run of near-identical consecutive events: ``keys``, ``pos_first``, ``pos_last``, ``n_records``, ``n_bases``.
 
-    An event joins the run before it if its position is one more, every value
-    stays inside ``tolerance`` over the whole run, and the value
-    ``zero_splits``, if given, is 0 in all or in none. Events are shuffled once,
-    by (keys, bin); after that only summaries move.
+    The runs cost least: ``penalty`` for each and ``weight`` times the squared
+    deviations inside it. Inside a run positions rise by one, every value stays
+    inside ``tolerance``, and the value ``zero_splits``, if given, is 0 in all or
+    in none. At weight 0 events are shuffled once, by (keys, bin), and then only
+    summaries move; with a weight a part without a forced end is one program.
 
     Defined cases: events with a null position or value are left out; null keys
     are an entity of their own; events equal in keys, position and ``id_col``
@@ -296,46 +146,18 @@ def collapse_runs(
     isn't one more; a single event is a run of one; an empty table gives no
     rows; further columns are left out.
     """
+    if penalty <= 0 or weight < 0:
+        raise ValueError("penalty must be above 0, weight not below")
     tol = tolerance or Tolerance()
-    names = [f"_k{i}" for i in range(len(keys))]
-    zero = values.index(zero_splits) if zero_splits else None
-    events = df.dropna(subset=[pos, *values]).select(
-        *[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)],
-        F.floor(F.col(pos) / bin_width).cast("long").alias("_bin"),
-        F.col(pos).alias("_pos"),
-        F.col(id_col).alias("_id"),
-        *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)],
-    )
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    key_sql = ", ".join(f"{a} {types[a]}" for a in names) + ", _bin bigint"
-    by_bin = events.repartition(*names, "_bin").sortWithinPartitions(*names, "_bin", "_pos", "_id")
-    bins = cut(by_bin.mapInArrow(_bin_solver(len(keys), bin_width, zero, tol), f"{key_sql}, {BIN_SQL}"))
-    edges = bins.where("left_open or right_open").select(*names, "_bin", "left_open", "right_open", "last_pos", "last", "steps")
-    ordered = edges.repartition(*names).sortWithinPartitions(*names, "_bin")
-    fix_sql = f"{key_sql}, meets bigint, {RUN_SQL}"
-    fixes = ordered.mapInArrow(_true_steps(len(keys), zero, tol, to_arrow_schema(T._parse_datatype_string(fix_sql))), fix_sql)
-    # A bin can have two rows of fixes: its own, and one that closes its last run.
-    fixes = fixes.groupBy(*names, "_bin").agg(
-        F.max("meets").alias("meets"), F.flatten(F.collect_list("starts")).alias("more_starts"), F.flatten(F.collect_list("ends")).alias("more_ends")
-    )
-    right = fixes.select(*[F.col(c).alias(f"_f{c}") for c in [*names, "_bin"]], "meets", "more_starts", "more_ends")
-    cond = bins["_bin"].eqNullSafe(right["_f_bin"])
-    for a in names:
-        cond = cond & bins[a].eqNullSafe(right[f"_f{a}"])
-    joined = bins.join(right, cond, "left")
-    own = F.arrays_zip(F.col("starts").alias("starts"), F.col("ends").alias("ends"))
-    stands = F.filter(
-        own,
-        lambda x: (F.col("meets").isNull() | (x["starts"] >= F.col("meets")))
-        & (~F.col("right_open") | (x["starts"] != F.element_at("starts", -1))),
-    )
-    more = F.when(F.col("more_starts").isNotNull(), F.arrays_zip(F.col("more_starts").alias("starts"), F.col("more_ends").alias("ends")))
-    runs = joined.select(*names, F.explode(F.concat(stands, F.coalesce(more, F.array().cast("array<struct<starts:bigint,ends:bigint>>")))).alias("_r"))
+    names = [f"_v{i}" for i in range(len(values))]
+    events = df.dropna(subset=[pos, *values])
+    if not weight:
+        runs = tolerant_segments(events, keys, pos, values, tol, id_col=id_col, zero_splits=zero_splits, bin_width=bin_width)
+        runs = runs.withColumn("n_records", F.col("seg_last") - F.col("seg_first") + 1)
+    else:
+        events = events.select(packed(keys).alias("_key"), F.col(pos).cast("long").alias("_pos"), F.col(id_col).alias("_id"), *[F.col(c).alias(a) for c, a in zip(values, names, strict=True)])
+        runs = _weighted(events, keys, names, tol, values.index(zero_splits) if zero_splits else None, penalty, weight, bin_width)
     kind = df.schema[pos].dataType
     return runs.select(
-        *[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)],
-        F.col("_r.starts").cast(kind).alias("pos_first"),
-        F.col("_r.ends").cast(kind).alias("pos_last"),
-        (F.col("_r.ends") - F.col("_r.starts") + 1).alias("n_records"),
-        (F.col("_r.ends") - F.col("_r.starts") + 1).alias("n_bases"),
+        *keys, F.col("seg_first").cast(kind).alias("pos_first"), F.col("seg_last").cast(kind).alias("pos_last"), "n_records", (F.col("seg_last") - F.col("seg_first") + 1).alias("n_bases")
     )

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from siftbase.llm.runs import Tolerance, collapse_runs, optimum, reaches
+from siftbase.llm.runs import Tolerance, collapse_runs, optimum
 
 
 def greedy(rows):
@@ -81,27 +81,59 @@ def test_nulls_ties_and_empty(spark):
     assert collapse_runs(spark.createDataFrame([], schema), *args).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_pruned_program_equals_the_full_one(seed):
-    """All candidates, none pruned: least cost, and of equal ones the longest first run."""
-    rng = np.random.default_rng(seed)
-    n, tol = 60, Tolerance()
-    v = np.cumsum(rng.integers(-2, 3, (n, 2)), axis=0) + 15
-    forced = rng.random(n) < 0.05
-    reach = reaches(v, forced, tol)
-    marks, best = optimum(reach, 2.5)
+def full_program(v, forced, tol, penalty, weight):
+    """All candidates, none pruned: least cost from each event on, and of equal ones the longest first run."""
+    n = len(v)
     full, choice = np.zeros(n + 1), np.zeros(n, int)
     for i in range(n - 1, -1, -1):
         costs = {}
         for j in range(i + 1, n + 1):
             if forced[i + 1 : j].any() or not tol.holds(v[i:j].min(0), v[i:j].max(0)):
                 continue
-            costs[j] = 2.5 + full[j]
+            costs[j] = penalty + weight * ((v[i:j] - v[i:j].mean(0)) ** 2).sum() + (0 if j == n or forced[j] else full[j])
         full[i] = min(costs.values())
-        choice[i] = max(j for j, c in costs.items() if c == full[i])
-    assert np.allclose(best, full[:n])
+        choice[i] = max(j for j, c in costs.items() if c <= full[i] + 1e-7)
     at, starts = 0, []
     while at < n:
         starts.append(at)
         at = choice[at]
-    assert np.flatnonzero(marks).tolist() == starts
+    return full[:n], starts
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.05, 0.7, 20.0])
+@pytest.mark.parametrize("seed", range(8))
+def test_pruned_program_equals_the_full_one(seed, weight):
+    rng = np.random.default_rng(seed)
+    n, tol = 70, Tolerance(6)
+    v = np.cumsum(rng.integers(-2, 3, (n, 2)), axis=0) + 25
+    forced = rng.random(n) < 0.05
+    marks, best = optimum(v, forced, tol, 2.5, weight)
+    cost, starts = full_program(v, forced, tol, 2.5, weight)
+    assert np.allclose(best, cost) and np.flatnonzero(marks).tolist() == starts
+
+
+@pytest.mark.parametrize("width", [8, 8192])
+def test_weighted_runs_of_a_table(spark, width):
+    rng = random.Random(width)
+    data, want = [], []
+    for e in range(12):
+        rows = series(rng, rng.randrange(1, 90))
+        pos, v = np.array([r[0] for r in rows]), np.array([r[2:] for r in rows], float)
+        forced = np.append(True, (pos[1:] != pos[:-1] + 1) | ((v[1:, 0] == 0) != (v[:-1, 0] == 0)))
+        _, starts = full_program(v, forced, Tolerance(), 3.0, 0.4)
+        want += [(e, int(pos[a]), int(pos[z - 1]), z - a) for a, z in zip(starts, [*starts[1:], len(pos)])]
+        data += [(e, *r) for r in rows + rows[:3]]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "sample_id long, pos int, rec_id long, dp int, rr int, vr int").repartition(3)
+    got = collapse_runs(df, ["sample_id"], "pos", ["dp", "rr", "vr"], "rec_id", zero_splits="dp", bin_width=width, penalty=3.0, weight=0.4)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    assert collapse_runs(df.limit(0), ["sample_id"], "pos", ["dp", "rr", "vr"], "rec_id", weight=0.4).count() == 0
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.4])
+def test_ties_at_the_edges_of_a_bin(spark, weight):
+    """Two events at the last and at the first position of a bin: each begins a run, and one goes on."""
+    rows = [(1, 5, 1, 9), (1, 6, 2, 9), (1, 7, 3, 9), (1, 7, 4, 9), (1, 8, 5, 9), (1, 8, 6, 9), (1, 9, 7, 9), (2, 7, 1, 9), (2, 8, 2, 9), (2, 8, 3, 9), (2, 15, 4, 9), (2, 15, None, 9), (2, 16, 5, 9)]
+    df = spark.createDataFrame(rows, "sample_id long, pos int, rec_id long, dp int")
+    got = collapse_runs(df, ["sample_id"], "pos", ["dp"], "rec_id", bin_width=8, weight=weight)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, 5, 7, 3), (1, 7, 8, 2), (1, 8, 9, 2), (2, 7, 8, 2), (2, 8, 8, 1), (2, 15, 15, 1), (2, 15, 16, 2)]
