@@ -11,7 +11,7 @@ from siftbase.config import CallerOptions
 from siftbase.operators.joins import with_known
 from siftbase.operators.reads import distinct_reads
 from siftbase.plans.caller import blocks_of, call, no_variant_rows
-from siftbase.session import local_session
+from siftbase.session import cut, local_session
 from siftbase.sinks.vcf import block_record, header, indel_record, novar_record, snp_record, vcf_lines, verify_text, write_vcf
 from siftbase.sources.bam import BamSource, bam_contigs
 from siftbase.sources.text import read_bed, read_fasta, read_known_indels, read_sam, read_sam_contigs
@@ -71,9 +71,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     reads, contigs = read_input(spark, a.reads, ref)
     if a.scf:
         reads, ref, contigs = (x.where(F.col("contig") == a.scf) for x in (reads, ref, contigs))
+    ref, contigs, reads = cut(ref), cut(contigs), cut(distinct_reads(reads))  # read and made distinct once, used by both streams
     segments = read_bed(spark, a.capture_bed, strict=a.strict_bed, zero_based=a.zero_based_bed) if a.capture_bed else None
     one = None if a.reads.endswith(".parquet") else 0
-    c = call(distinct_reads(reads), ref, segments, o, one, a.all_indels)
+    c = call(reads, ref, segments, o, one, a.all_indels)
     names = [(r["contig"], r["contig_len"]) for r in contigs.orderBy("ord").collect()]  # as many as a header has lines
     indels = with_known(c.indels, read_known_indels(spark, a.known_indels)) if a.known_indels else c.indels
     for kind, calls, record, surface in (("snp", c.snps, snp_record(), c.snp_surface), ("indel", indels, indel_record(known=bool(a.known_indels)), c.indel_surface)):

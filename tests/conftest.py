@@ -10,4 +10,5 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from siftbase.session import local_session
 
-    return local_session(4, spark__sql__shuffle__partitions="4")
+    # Short jobs: compiling everything to the last costs more than it gives.
+    return local_session(4, spark__sql__shuffle__partitions="4", spark__driver__extraJavaOptions="-XX:TieredStopAtLevel=1")
