@@ -296,7 +296,9 @@ def tolerant_segments(
         rows = split_at_bins(rows.withColumn("_from", F.col("_pos")), "_pos", "_to", bin_width).withColumn("_must", must)
     else:
         rows = rows.withColumn("_bin", F.floor(F.col("_pos") / bin_width).cast("long"))
-    rows = rows.select(*names, "_bin", "_pos", "_to", "_must", "_id", *[f"_v{i}" for i in range(len(values))])
+    cols = [*names, "_bin", "_pos", "_to", "_must", "_id", *[f"_v{i}" for i in range(len(values))]]
+    same = [*(["_to"] if not last else []), *(["_must"] if forced is None else [])]  # what needn't be shuffled
+    rows = rows.select(*cols)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_sql = ", ".join([*(f"{a} {types[a]}" for a in names), "_bin bigint"])
 
@@ -304,7 +306,8 @@ def tolerant_segments(
         for t in whole_groups(n + 1)(batches):
             yield _solve(t, n, bin_width, zero, tolerance)
 
-    by_bin = rows.repartition(*names, "_bin").sortWithinPartitions(*names, "_bin", "_pos", "_id")
+    by_bin = rows.drop(*same).repartition(*names, "_bin").sortWithinPartitions(*names, "_bin", "_pos", "_id")
+    by_bin = by_bin.withColumns({c: F.col("_pos") if c == "_to" else F.lit(False) for c in same}).select(*cols)
     bins = cut(by_bin.mapInArrow(solve, f"{key_sql}, {BIN_SQL}"))
     edges = bins.where("left_open or right_open").select(*names, "_bin", "left_open", "right_open", "last_pos", "last", "steps", F.size("starts").alias("n_own"))
     ordered = edges.repartition(*(names or [F.lit(0)])).sortWithinPartitions(*names, "_bin")
