@@ -13,27 +13,32 @@ from siftbase.session import fresh
 MOST_HEAVY = 1024
 
 
-def heavy_keys(df: DataFrame, key: str, share: float, tracked: int = 1 << 13) -> tuple[DataFrame, int]:
-    """Keys that hold at least ``share`` of all rows of ``df``, exactly, and the number of rows.
+def heavy_candidates(df: DataFrame, key: str, share: float, tracked: int = 1 << 13) -> tuple[DataFrame, int]:
+    """Keys among which are all that hold at least ``share`` of the rows of ``df``, at most ``MOST_HEAVY``, and the number of rows.
 
     A mergeable frequent-items sketch (built per partition, merged by key-free
-    partial aggregation) proposes candidates; it never misses a key above
-    1/``tracked`` of the rows, and ``tracked`` is far above 1/``share``. The
-    candidates, at most ``MOST_HEAVY`` and so broadcastable, are then counted
-    exactly. Null is never a heavy key; null rows count in the total.
+    partial aggregation) proposes them; it never misses a key above
+    1/``tracked`` of the rows, and ``tracked`` is far above 1/``share``. Null is
+    never a candidate; null rows count in the number.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
     most = min(MOST_HEAVY, int(2 / share) + 8)
     if most < 1 / share:
         raise ValueError(f"share {share} asks for more than {MOST_HEAVY} keys")
-    spark = df.sparkSession
     sketch = F.expr(f"approx_top_k(`{key}`, {most}, {max(tracked, most * 8)})").alias("top")
     found = df.agg(F.count(F.lit(1)).alias("n"), sketch).first()
-    total = found["n"]
     items = [r["item"] for r in found["top"] or [] if r["item"] is not None]
     kind = df.schema[key].dataType.simpleString()
-    candidates = spark.createDataFrame([(x,) for x in items], f"`{key}` {kind}")
+    return df.sparkSession.createDataFrame([(x,) for x in items], f"`{key}` {kind}"), found["n"]
+
+
+def heavy_keys(df: DataFrame, key: str, share: float, tracked: int = 1 << 13) -> tuple[DataFrame, int]:
+    """Keys that hold at least ``share`` of all rows of ``df``, exactly, with ``n_rows``, and the number of rows.
+
+    The candidates of the sketch, few enough to be broadcast, are counted exactly.
+    """
+    candidates, total = heavy_candidates(df, key, share, tracked)
     counted = df.select(key).join(F.broadcast(candidates), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.where(F.col("n_rows") >= F.lit(share) * F.lit(float(total))), total
 
@@ -58,27 +63,24 @@ def split_apply(
 def skew_totals(df: DataFrame, key: str, share: float, aggs: list[Column], columns: list[str] | None = None) -> tuple[DataFrame, int]:
     """One row of ``aggs`` per key, without a task per heavy key, and the number of rows of ``df``.
 
-    Keys that hold at least ``share`` of the rows meet the broadcast heavy keys
-    where their rows lie and are aggregated there before anything moves; the
-    rows of all other keys take the ordinary shuffle by key; then the union.
+    Rows of the candidates of the sketch, with all keys that hold at least
+    ``share`` among them, meet the broadcast candidates where they lie and are
+    aggregated there before anything moves; the rows of all other keys take the
+    ordinary shuffle by key; then the union. The exact counts come out of it, so
+    candidates need no count of their own.
 
     Defined cases: null is a key of its own among the light ones; a table
     without a heavy key is an ordinary aggregation; an empty table gives no rows.
     """
-    heavy, total = heavy_keys(df, key, share)
+    heavy, total = heavy_candidates(df, key, share)
     rows = df.select(*dict.fromkeys([key, *(columns or [])]))
     return split_apply(
-        rows, key, _few(heavy, key),
+        rows, key, heavy,
         lambda x: x.groupBy(key).agg(*aggs),
         lambda x: x.repartition(key).groupBy(key).agg(*aggs),
     ), total
 
 
-def _few(heavy: DataFrame, key: str) -> DataFrame:
-    """The heavy keys as a local table, so that they are found once."""
-    return heavy.sparkSession.createDataFrame([(r[0],) for r in heavy.select(key).collect()], heavy.select(key).schema)
-
-
 def skew_join(
     facts: DataFrame,
     dims: DataFrame,
