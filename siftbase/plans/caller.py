@@ -110,4 +110,4 @@ def call(reads: DataFrame, refseq: DataFrame, segments: DataFrame | None = None,
     if not o.gvcf:
         return Calls(on_target(snps, segments), kept, None, None)
     regions = sample_regions(reads, whole_contigs(refseq) if segments is None else segments, sample_id)
-    return Calls(on_target(snps, segments), kept, snp_surface(best, snp_cover, snps, regions, o), indel_surface(sites, indel_cover, indels, regions, o))
+    return Calls(on_target(snps, segments), kept, cut(snp_surface(best, snp_cover, snps, regions, o)), cut(indel_surface(sites, indel_cover, indels, regions, o)))
